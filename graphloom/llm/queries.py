@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, repetition, secrets, simhash
+from . import ann, chat, langid, lm, mixing, packing, quality, repetition, secrets, simhash
 from .common import read_table
 
 
@@ -65,13 +65,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(own)))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = langid.held_out("doc_id", 5, 1)
+    found = lm.score_texts(docs, ~out)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_language, op4_quality, op5_repetition, op6_mixing, op7_chat, op10_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_language, op4_quality, op5_repetition, op6_mixing, op7_chat, op8_neighbours, op9_katz, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
