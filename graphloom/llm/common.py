@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,12 @@ def drop_scratch(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan reads; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_crc(col: str | Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

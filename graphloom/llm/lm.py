@@ -35,7 +35,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, map_arrow, mix64, scratch_table, text_blocks
+from .common import LOWER, RollingHash, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_000_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -356,6 +356,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(16, math.ceil(tokens / BUCKET_TOKENS))
     words = scratch_table(_word_requests(chunks, buckets).groupBy("bucket").applyInArrow(_count_words, _ANSWER), "words")
+    release_shuffles(spark)
     stats = [r["n"] for r in words.where("what = 'table'").select("n").collect()]  # one row a bucket
     total, kinds, *n = [sum(x) for x in zip(*stats, strict=True)] if stats else [0] * (LARGEST + 4)
     uni = Unigrams(total, kinds, n)
@@ -366,6 +367,8 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         lambda a, b: _bigram_requests(a, b, buckets, hot), "bucket long, chunk long, v binary, many binary, w binary, count binary, known binary, hot_v binary, hot_w binary, hot_count binary, hot_known binary"
     )
     counted = scratch_table(asked.groupBy("bucket").applyInArrow(lambda t: _count_bigrams(t, uni), _ANSWER), "bigrams")
+    del asked
+    release_shuffles(spark)
     few = counted.where("what IN ('stats', 'hot_sum')").select("what", "chunk", "b", "n").collect()  # buckets, and hot contexts x buckets
     n2 = np.sum([r["n"] for r in few if r["what"] == "stats"], axis=0).tolist() if few else [0] * (LARGEST + 2)
     d = katz_discounts(n2)
