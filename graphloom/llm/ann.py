@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, mix64, scratch_table
 
-TABLES, SAMPLE, TARGET, OCCUPANCY, REACH = 3, 64, 0.965, 150, 3
+TABLES, SAMPLE, TARGET, OCCUPANCY, REACH = 3, 64, 0.965, 400, 3
+#: Share of the probes that go first; their best scores are the least that later candidates must reach.
+FIRST = 0.125
 ROW_BLOCK, QUERY_BLOCK = 2048, 4096
 SEED = 7
 
@@ -119,20 +121,25 @@ def _best(scores: np.ndarray, rows: np.ndarray, most: int) -> list[np.ndarray]:
 
 
 def _compare(index: DataFrame, queries: DataFrame, dim: int, most: int) -> DataFrame:
-    """q, row, score: the most best rows of each query within its groups. index: g, row, v; queries: g, q, v."""
+    """q, row, score: the most best rows of each query within its groups, of score least or more. index: g, row, v; queries: g, q, v, least."""
     stat = index.groupBy("g").agg(F.ceil(F.count("*") / ROW_BLOCK).cast("int").alias("rb")).join(queries.groupBy("g").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qb")), "g")
     share = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     i = index.join(stat, "g").withColumn("x", share("row", "rb")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("g", "x", "y", "row", "v")
-    q = queries.join(stat, "g").withColumn("y", share("q", "qb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).select("g", "x", "y", "q", "v")
+    q = queries.join(stat, "g").withColumn("y", share("q", "qb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).select("g", "x", "y", "q", "v", "least")
     kind_q, kind_r = queries.schema["q"].dataType.simpleString(), index.schema["row"].dataType.simpleString()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         rows, asked = a["row"].to_numpy(), b["q"].to_numpy()
         x, y = (_matrix(t["v"], dim) if len(t) else np.zeros((0, dim)) for t in (a, b))
+        least = b["least"].to_numpy()
         q_out, r_out, s_out = [], [], []
         for lo in range(0, len(asked) if len(rows) else 0, 256):
             s = y[lo : lo + 256] @ x.T
-            for k, pick in enumerate(_best(s, rows, most)):
+            for k in range(len(s)):
+                good = np.flatnonzero(s[k] >= least[lo + k])
+                if not len(good):
+                    continue
+                pick = good[_best(s[k : k + 1, good], rows[good], most)[0]]
                 q_out.append(np.repeat(asked[lo + k], len(pick)))
                 r_out.append(rows[pick])
                 s_out.append(s[k, pick])
@@ -146,7 +153,7 @@ def _top(found: DataFrame, most: int) -> DataFrame:
     """The most best rows of each query, each once."""
     one = found.groupBy("q", "row").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))
-    return one.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+    return one.withColumn("n", rank).where(F.col("n") <= most)
 
 
 def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", most: int = 20) -> DataFrame:
@@ -173,25 +180,36 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(mix64(keys[:, t].view(np.uint64) + np.uint64(t)).view(np.int64)), b.column(0), b.column(1)], names=["g", "row", "v"])
 
-    def visit(batches):
-        for b in batches:
-            x = _matrix(b.column(1), dim)
-            for lo in range(0, len(x), 64):
-                keys = h.probes(x[lo : lo + 64], probes)
-                for t in range(TABLES):
-                    k = mix64(keys[:, t].view(np.uint64) + np.uint64(t)).view(np.int64)
-                    take = pa.array(np.repeat(np.arange(len(k)), k.shape[1]))
-                    part = b.slice(lo, 64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), part.column(0).take(take), part.column(1).take(take)], names=["g", "q", "v"])
+    def visit(start: int, stop: int):
+        def run(batches):
+            for b in batches:
+                x = _matrix(b.column(1), dim)
+                for lo in range(0, len(x), 64):
+                    keys = h.probes(x[lo : lo + 64], stop)[:, :, start:]
+                    for t in range(TABLES):
+                        k = mix64(np.ascontiguousarray(keys[:, t]).view(np.uint64) + np.uint64(t)).view(np.int64)
+                        take = pa.array(np.repeat(np.arange(len(k)), k.shape[1]))
+                        part = b.slice(lo, 64)
+                        yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), *(part.column(c).take(take) for c in range(3))], names=["g", "q", "v", "least"])
+
+        return run
 
     index = map_arrow(rows.select("row", "v"), place, f"g long, row {kind_r}, v array<double>")
-    visits = map_arrow(classes.select("q", "v"), visit, f"g long, q {kind_q}, v array<double>")
-    found = scratch_table(_top(_compare(index, visits, dim, most + 1), most + 1), "found")
+    shape = f"g long, q {kind_q}, v array<double>, least double"
+    any_score = F.lit(float("-inf")).alias("least")
+    early = math.ceil(FIRST * probes)
+    found = scratch_table(_top(_compare(index, map_arrow(classes.select("q", "v", any_score), visit(0, early), shape), dim, most + 1), most + 1), "found")
+    if early < probes:
+        least = found.where(F.col("n") == most + 1).select("q", F.col("score").alias("least"))
+        again = classes.select("q", "v").join(least, "q", "left").select("q", "v", F.coalesce("least", any_score).alias("least"))
+        more = _compare(index, map_arrow(again, visit(early, probes), shape), dim, most + 1)
+        found = scratch_table(_top(found.select("q", "row", "score").unionByName(more), most + 1), "found")
+    found = found.drop("n")
     # ids that the found rows stand for; queries with too few are compared with every row
     full = min(most + 1, fact["ids"])
     held = found.join(rows.select("row", F.size("ids").alias("n")), "row").groupBy("q").agg(F.sum("n").alias("n"))
     short = classes.join(held, "q", "left").where(F.coalesce("n", F.lit(0)) < full).select("q", "v")
-    exact = _top(_compare(rows.select(F.lit(0).alias("g"), "row", "v"), short.select(F.lit(0).alias("g"), "q", "v"), dim, most + 1), most + 1)
+    exact = _top(_compare(rows.select(F.lit(0).alias("g"), "row", "v"), short.select(F.lit(0).alias("g"), "q", "v", any_score), dim, most + 1), most + 1).drop("n")
     found = found.join(short.select("q"), "q", "left_anti").unionByName(exact)
     ids = found.join(rows.select("row", "ids"), "row").select("q", "score", F.explode("ids").alias("vec_id"))
     whole = ids.join(classes.select("q", "k1", "k2"), "q").withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= most + 1)
