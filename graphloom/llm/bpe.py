@@ -15,7 +15,7 @@ from .common import RollingHash, Texts
 
 BLANK, SPACE, LETTER, NUMBER, OTHER = range(5)
 #: Different pieces remembered by a worker before it starts anew.
-REMEMBER = 1_500_000
+REMEMBER = 600_000
 _STATE: dict = {}
 
 

@@ -123,7 +123,7 @@ class Texts:
         return begin, end, count
 
 
-def text_blocks(column: pa.Array, target: int = 1 << 20) -> Iterator[Texts]:
+def text_blocks(column: pa.Array, target: int = (1 << 20) - 8) -> Iterator[Texts]:
     """Split an Arrow string column into runs of docs of about target bytes (a longer doc stands alone)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -166,7 +166,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         out = []
         for b in (_BASE, pow(_BASE, -1, 2**64)):
             p = np.ones(size, dtype=np.uint64)
