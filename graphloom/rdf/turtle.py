@@ -114,7 +114,8 @@ class _Reader:
         iri = re.sub(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m[1] or m[2], 16)), token[1:-1])
         if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri) or self.base is None:
             return IRI(iri)
-        return IRI(urljoin(self.base, iri) if iri else self.base)
+        full = urljoin(self.base, iri) if iri else self.base
+        return IRI(full + "#" if iri.endswith("#") and not full.endswith("#") else full)  # urljoin drops an empty fragment
 
     def expand(self, token: str) -> IRI:
         prefix, _, name = token.partition(":")

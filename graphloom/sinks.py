@@ -38,8 +38,8 @@ def to_string(quads: DataFrame, *, escape: bool = True) -> str:
     return "".join(f"{r.line}\n" for r in lines(quads, escape=escape).toLocalIterator())
 
 
-def print_lines(quads: DataFrame, out: TextIO = sys.stdout, *, escape: bool = True) -> int:
-    n = 0
+def print_lines(quads: DataFrame, out: TextIO | None = None, *, escape: bool = True) -> int:
+    out, n = out or sys.stdout, 0
     for r in lines(quads, escape=escape).toLocalIterator(prefetchPartitions=True):
         out.write(f"{r.line}\n")
         n += 1
