@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, RollingHash, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
 
-CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_000_000, 1_500_000, 1024, 5
+CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 5_000_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _CUT = np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -166,8 +166,8 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.at, weights=self.weight, minlength=len(self.words)).astype(np.int64)
 
-    def bigrams(self, hot: np.ndarray):
-        """Different bigrams (position of context, of word), training counts, each token's bigram; the ones of hot contexts last, by key."""
+    def bigrams(self, hot: np.ndarray, buckets: int):
+        """Different bigrams (hashes and position of word, key), training counts, each token's bigram; those of other and of hot contexts, the latter by bucket and context."""
         before = np.empty(len(self.at), dtype=np.int64)
         before[1:] = self.at[:-1]
         before[self.first] = len(self.words)
@@ -186,7 +186,7 @@ class Chunk:
         is_hot = np.isin(hv, hot)
         key = mix64(hv * np.uint64(0x9E3779B97F4A7C15) + hw)
         plain, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        warm = warm[np.argsort(key[warm], kind="stable")]
+        warm = warm[np.lexsort((key[warm], hv[warm], bucket_of(key[warm], buckets)))]
         return hv, hw, w, key, count, which, plain, warm
 
 
@@ -242,8 +242,8 @@ def _count_words(table: pa.Table) -> pa.Table:
 def _bigram_requests(left: pa.Table, right: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
     known = _aligned(right, "word")
-    hv, hw, w, key, count, _, plain, warm = c.bigrams(hot)
-    cw = known[w]
+    hv, hw, w, key, count, _, plain, warm = c.bigrams(hot, buckets)
+    cw = np.where(count > 0, known[w], 0)  # others add nothing to a context's sums
     parts: dict[int, list] = {}
     for x, i, j in _runs(bucket_of(hv[plain], buckets)):
         p = plain[i:j]
@@ -262,8 +262,8 @@ def _aligned(answers: pa.Table, what: str, part: str = "a", dtype=np.int64) -> n
     return np.concatenate([unpack(b, dtype) for _, b in rows]) if rows else np.zeros(0, dtype)
 
 
-def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray):
-    """Entries of the same (v, w): order, group starts, group of each entry, summed counts."""
+def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, known: np.ndarray):
+    """Entries of the same (v, w): context, count of the word, group of each entry, summed counts."""
     order = np.lexsort((w, v))
     a, b = v[order], w[order]
     new = np.ones(len(a), dtype=bool)
@@ -271,7 +271,9 @@ def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray):
     start = np.flatnonzero(new)
     which = np.empty(len(a), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    return a[start], order[start], which, np.add.reduceat(count[order], start) if len(start) else np.zeros(0, np.int64)
+    if not len(start):
+        return a, np.zeros(0, np.int64), which, np.zeros(0, np.int64)
+    return a[start], np.maximum.reduceat(known[order], start), which, np.add.reduceat(count[order], start)
 
 
 def _sums(v: np.ndarray, total: np.ndarray, p: np.ndarray):
@@ -292,9 +294,8 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
         vs, many = [unpack(r["v"], np.uint64, rising=True) for r in cold], [unpack(r["many"], np.int64) for r in cold]
         v = np.concatenate([np.repeat(a, m) for a, m in zip(vs, many, strict=True)])
         w = np.concatenate([unpack(r["w"], np.uint64) for r in cold])
-        gv, pick, which, total = _group(v, w, np.concatenate([unpack(r["count"], np.int64) for r in cold]))
-        p = uni.p(np.concatenate([unpack(r["known"], np.int64) for r in cold])[pick])
-        kinds, _, n, big, back = _sums(gv, total, p)
+        gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in cold]) for k in ("count", "known")))
+        kinds, _, n, big, back = _sums(gv, total, uni.p(known))
         seen_counts += np.array(_histogram(total))
         at = 0
         for r, a, m in zip(cold, vs, many, strict=True):
@@ -307,8 +308,8 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
         parts = [unpack(r["hot_v"], np.uint16) for r in warm]
         v = np.concatenate(parts).astype(np.int64)
         w = np.concatenate([unpack(r["hot_w"], np.uint64) for r in warm])
-        gv, pick, which, total = _group(v, w, np.concatenate([unpack(r["hot_count"], np.int64) for r in warm]))
-        kinds, _, n, big, back = _sums(gv, total, uni.p(np.concatenate([unpack(r["hot_known"], np.int64) for r in warm])[pick]))
+        gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in warm]) for k in ("hot_count", "hot_known")))
+        kinds, _, n, big, back = _sums(gv, total, uni.p(known))
         seen_counts += np.array(_histogram(total))
         at = 0
         for r, a in zip(warm, parts, strict=True):
@@ -320,10 +321,10 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
     return _answer(out)
 
 
-def _score(left: pa.Table, right: pa.Table, uni: Unigrams, d: list[float], hot: np.ndarray, hot_facts: tuple) -> pa.Table:
+def _score(left: pa.Table, right: pa.Table, buckets: int, uni: Unigrams, d: list[float], hot: np.ndarray, hot_facts: tuple) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
     known = _aligned(right, "word")
-    hv, _, w, _, _, which, plain, warm = c.bigrams(hot)
+    hv, _, w, _, _, which, plain, warm = c.bigrams(hot, buckets)
     total = np.empty(len(hv), dtype=np.int64)
     total[plain], total[warm] = _aligned(right, "bigram"), _aligned(right, "hot")
     bottom, alpha, cut = np.empty(len(hv)), np.empty(len(hv)), np.empty(len(hv), dtype=bool)
@@ -380,7 +381,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     answers = answers.unionByName(counted.where("what IN ('bigram', 'hot')"))
     kind = docs.schema[id_col].dataType.simpleString()
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda a, b: _score(a, b, uni, d, hot, hot_facts), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        lambda a, b: _score(a, b, buckets, uni, d, hot, hot_facts), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
