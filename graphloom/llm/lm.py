@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, RollingHash, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
 
-CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 5_000_000, 1_500_000, 1024, 5
+CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _CUT = np.uint64(0xFFFFFFFFFFFF0000)
 
