@@ -17,8 +17,9 @@ tokens or more (at most HOT of them): those are spread over all buckets and
 their sums are added up. Counts stay in tables of one row a bucket. Texts never
 move; tokens move once, compressed.
 
-Two words share a hash with probability 2**-64, two successors of one context
-their 48 bits with 2**-48.
+Two words share a hash with probability 2**-64. A bucket's answer numbers its
+words, and bigrams are asked for by these numbers: they are exact and take a few
+bytes where hashes take eight.
 
 Defined results: null text counts as empty (one end token); repeated rows count
 and are scored one by one; without training rows every word is unknown and P is 1.
@@ -39,7 +40,6 @@ from .common import LOWER, RollingHash, map_arrow, mix64, release_shuffles, scra
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-_CUT = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def pack(a: np.ndarray, *, rising: bool = False) -> bytes:
@@ -167,7 +167,7 @@ class Chunk:
         return np.bincount(self.at, weights=self.weight, minlength=len(self.words)).astype(np.int64)
 
     def bigrams(self, hot: np.ndarray, buckets: int):
-        """Different bigrams (hashes and position of word, key), training counts, each token's bigram; those of other and of hot contexts, the latter by bucket and context."""
+        """Different bigrams (hash of context, positions of context and word, key), training counts, each token's bigram; those of other and of hot contexts, the latter by bucket and context."""
         before = np.empty(len(self.at), dtype=np.int64)
         before[1:] = self.at[:-1]
         before[self.first] = len(self.words)
@@ -182,12 +182,12 @@ class Chunk:
         count = np.add.reduceat(self.weight[order].astype(np.int64), start)
         v, w = np.divmod(s[start], len(self.words) + 1)
         hashes = np.append(self.words, START)
-        hv, hw = hashes[v], hashes[w] & _CUT
+        hv = hashes[v]
         is_hot = np.isin(hv, hot)
-        key = mix64(hv * np.uint64(0x9E3779B97F4A7C15) + hw)
+        key = mix64(hv * np.uint64(0x9E3779B97F4A7C15) + hashes[w])
         plain, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
         warm = warm[np.lexsort((key[warm], hv[warm], bucket_of(key[warm], buckets)))]
-        return hv, hw, w, key, count, which, plain, warm
+        return hv, v, w, key, count, which, plain, warm
 
 
 def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _answer(rows: list[tuple]) -> pa.Table:
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Answers to each chunk (its words' counts), the bucket's table of counts, and its statistics."""
+    """Answers to each chunk (its words' counts and their numbers in the bucket), the bucket's table of counts, and its statistics."""
     rows = table.to_pylist()
     words = [unpack(r["words"], np.uint64, rising=True) for r in rows]
     counts = [unpack(r["counts"], np.int64) for r in rows]
@@ -232,7 +232,8 @@ def _count_words(table: pa.Table) -> pa.Table:
     np.add.at(total, where, np.concatenate(counts))
     out, at = [], 0
     for r, w in zip(rows, words, strict=True):
-        out.append(("word", r["bucket"], r["chunk"], pack(total[where[at : at + len(w)]]), None, None))
+        own = where[at : at + len(w)]
+        out.append(("word", r["bucket"], r["chunk"], pack(total[own]), pack(own.astype(np.int64), rising=True), None))
         at += len(w)
     seen = total > 0
     out.append(("table", rows[0]["bucket"], None, pack(key[seen], rising=True), pack(total[seen]), [int(total.sum()), int(seen.sum()), *_histogram(total)]))
@@ -242,24 +243,25 @@ def _count_words(table: pa.Table) -> pa.Table:
 def _bigram_requests(left: pa.Table, right: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
     known = _aligned(right, "word")
-    hv, hw, w, key, count, _, plain, warm = c.bigrams(hot, buckets)
+    number = bucket_of(c.words, buckets) << 32 | _aligned(right, "word", "b", rising=True)
+    hv, v, w, key, count, _, plain, warm = c.bigrams(hot, buckets)
     cw = np.where(count > 0, known[w], 0)  # others add nothing to a context's sums
     parts: dict[int, list] = {}
     for x, i, j in _runs(bucket_of(hv[plain], buckets)):
         p = plain[i:j]
-        v, many = np.unique(hv[p], return_counts=True)
-        parts[x] = [pack(v, rising=True), pack(many), pack(hw[p]), pack(count[p]), pack(cw[p]), None, None, None, None]
+        a, many = np.unique(number[v[p]], return_counts=True)
+        parts[x] = [pack(a, rising=True), pack(many), pack(number[w[p]]), pack(count[p]), pack(cw[p]), None, None, None, None]
     for x, i, j in _runs(bucket_of(key[warm], buckets)):
         p = warm[i:j]
-        parts.setdefault(x, [None] * 9)[5:] = [pack(np.searchsorted(hot, hv[p]).astype(np.uint16)), pack(hw[p]), pack(count[p]), pack(cw[p])]
+        parts.setdefault(x, [None] * 9)[5:] = [pack(np.searchsorted(hot, hv[p]).astype(np.uint16)), pack(number[w[p]]), pack(count[p]), pack(cw[p])]
     names = ["v", "many", "w", "count", "known", "hot_v", "hot_w", "hot_count", "hot_known"]
     cols = [pa.array(list(parts), pa.int64()), pa.array([c.id] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts.values()], pa.binary()) for k in range(9))]
     return pa.table(cols, names=["bucket", "chunk", *names])
 
 
-def _aligned(answers: pa.Table, what: str, part: str = "a", dtype=np.int64) -> np.ndarray:
+def _aligned(answers: pa.Table, what: str, part: str = "a", *, rising: bool = False) -> np.ndarray:
     rows = sorted((r["bucket"], r[part]) for r in answers.select(["what", "bucket", part]).to_pylist() if r["what"] == what and r[part] is not None)
-    return np.concatenate([unpack(b, dtype) for _, b in rows]) if rows else np.zeros(0, dtype)
+    return np.concatenate([unpack(b, np.int64, rising=rising) for _, b in rows]) if rows else np.zeros(0, np.int64)
 
 
 def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, known: np.ndarray):
@@ -291,9 +293,9 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
     seen_counts = np.zeros(LARGEST + 2, dtype=np.int64)
     cold = [r for r in rows if r["v"] is not None]
     if cold:
-        vs, many = [unpack(r["v"], np.uint64, rising=True) for r in cold], [unpack(r["many"], np.int64) for r in cold]
+        vs, many = [unpack(r["v"], np.int64, rising=True) for r in cold], [unpack(r["many"], np.int64) for r in cold]
         v = np.concatenate([np.repeat(a, m) for a, m in zip(vs, many, strict=True)])
-        w = np.concatenate([unpack(r["w"], np.uint64) for r in cold])
+        w = np.concatenate([unpack(r["w"], np.int64) for r in cold])
         gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in cold]) for k in ("count", "known")))
         kinds, _, n, big, back = _sums(gv, total, uni.p(known))
         seen_counts += np.array(_histogram(total))
@@ -307,7 +309,7 @@ def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
     if warm:
         parts = [unpack(r["hot_v"], np.uint16) for r in warm]
         v = np.concatenate(parts).astype(np.int64)
-        w = np.concatenate([unpack(r["hot_w"], np.uint64) for r in warm])
+        w = np.concatenate([unpack(r["hot_w"], np.int64) for r in warm])
         gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in warm]) for k in ("hot_count", "hot_known")))
         kinds, _, n, big, back = _sums(gv, total, uni.p(known))
         seen_counts += np.array(_histogram(total))
@@ -378,7 +380,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         facts[r["chunk"]] += np.array(r["n"])
         back[r["chunk"]] += np.frombuffer(bytes(r["b"]))[0]
     hot_facts = alpha_of(facts[:, :LARGEST], facts[:, LARGEST], back, d)
-    answers = answers.unionByName(counted.where("what IN ('bigram', 'hot')"))
+    answers = answers.withColumn("b", F.lit(None).cast("binary")).unionByName(counted.where("what IN ('bigram', 'hot')"))
     kind = docs.schema[id_col].dataType.simpleString()
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda a, b: _score(a, b, buckets, uni, d, hot, hot_facts), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
