@@ -31,7 +31,7 @@ OFFSET = {n: sum(d for m, d in DIMS.items() if m < n) for n in DIMS}
 WIDTH = sum(DIMS.values())
 _MULT = {1: np.uint32(1), 2: np.uint32(2654435761), 3: np.uint32(2246822519), 4: np.uint32(3266489917)}
 TRAIN_ROWS, LANDMARKS, RIDGE = 1500, 400, 1e-3
-#: Docs whose bits stand together in memory.
+#: Docs whose bits stand together in memory, unpacked.
 ROWS = 64
 
 
@@ -67,20 +67,24 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / len(DIMS)
 
 
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1)[:, :WIDTH]
+
+
 class KernelRidge:
-    """One-versus-rest ridge regression on Nystrom features, folded to cell weights."""
+    """One-versus-rest ridge regression on Nystrom features, folded to cell weights. packed: presence bits of the sample, eight a byte, unpacked by blocks of rows."""
 
-    def __init__(self, bits: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, packed: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(lang))
         y = np.array([[1.0 if v == c else -1.0 for c in self.langs] for v in lang])
         # landmarks: the same number of each language where there are as many, in the order of the sample
         by = [np.flatnonzero(y[:, c] > 0) for c in range(len(self.langs))]
         pick = np.sort(np.concatenate([ix[: max(1, landmarks // len(self.langs))] for ix in by]))
-        z = bits[pick]
+        z = unpacked(packed[pick])
         val, vec = np.linalg.eigh(kernel(z, z))
         ok = val > 1e-6 * val[-1]
         root = vec[:, ok] / np.sqrt(val[ok])
-        phi = kernel(bits, z) @ root
+        phi = np.concatenate([kernel(unpacked(packed[i : i + 8 * ROWS]), z) for i in range(0, len(packed), 8 * ROWS)]) @ root
         weight = 1.0 / np.maximum((y > 0).sum(0), 1)  # languages count alike, however many rows they have
         self.bias = np.zeros(len(self.langs))
         beta = np.zeros((phi.shape[1], len(self.langs)))
@@ -120,10 +124,10 @@ def _lettered(t: Texts) -> np.ndarray:
 
 
 def sample_bits(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_rows: int) -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of train_rows rows of each language or a few more, by a hash of the id."""
+    """Presence bits (eight a byte) and languages of train_rows rows of each language or a few more, by a hash of the id."""
     count = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     if not count:
-        return np.zeros((0, WIDTH), dtype=np.uint8), []
+        return np.zeros((0, WIDTH // 8), dtype=np.uint8), []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     rate = F.create_map(*[F.lit(x) for k, v in count.items() for x in (k, min(1.0, train_rows / v))])
     chosen = docs.where(F.col(lang_col).isNotNull()).where(draw < F.element_at(rate, F.col(lang_col)))
@@ -141,9 +145,8 @@ def sample_bits(docs: DataFrame, lang_col: str, text_col: str, id_col: str, trai
     rows = map_arrow(chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string")), run, "lang string, bits binary").collect()  # train_rows x languages, 5 KB each
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     if not rows:
-        return np.zeros((0, WIDTH), dtype=np.uint8), []
-    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-    return np.unpackbits(packed, axis=1)[:, :WIDTH], [r["lang"] for r in rows]
+        return np.zeros((0, WIDTH // 8), dtype=np.uint8), []
+    return np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), [r["lang"] for r in rows]
 
 
 def identify(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
