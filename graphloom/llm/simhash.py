@@ -8,6 +8,13 @@ least one partition i. Correlated bits share a partition; partition widths and
 thresholds are chosen by dynamic programming on estimated candidate counts.
 Every candidate is verified on all 64 bits.
 
+Three bits of 64 see texts that share nearly all shingles. Where texts are to be
+joined from a ``similarity`` of their shingle sets on (0.8 differs in ten bits
+of 64 on average, too many for a pigeonhole), ``similar_links`` adds links: ``BANDS``
+keys of ``ROWS`` min-wise hashes bring each fingerprint to the first and the
+last of each bucket, and the exact Jaccard similarity of the sets decides. Work
+stays linear in the size of a bucket.
+
 Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle of all its words; no word gives fingerprint 0, which
 links like any other. Repeated rows are kept. An empty table gives no rows.
@@ -20,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, scratch_table, text_blocks
+from .common import LOWER, RollingHash, map_arrow, mix64, scratch_table, text_blocks
 from .xxh import xxh64_ranges
 
 BITS = 64
+BANDS, ROWS = 20, 6
+_draw = np.random.default_rng(64)
+_FACTORS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingle_fingerprints(data: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, shingle: int) -> np.ndarray:
@@ -83,6 +94,93 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long")
 
 
+def shingle_sets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of each doc with a word (others: zeros); sorted 32-bit hashes of all docs' different shingles; how many each doc has."""
+    many = np.where(count == 0, 0, np.maximum(count - shingle + 1, 1))
+    doc = np.repeat(np.arange(len(count)), many)
+    left = (np.cumsum(count) - count)[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    right = np.minimum(left + shingle - 1, (np.cumsum(count) - 1)[doc])
+    h = RollingHash(data).ranges(begin[left], end[right]) if len(doc) else np.zeros(0, dtype=np.uint64)
+    keys = np.zeros((len(count), BANDS), dtype=np.uint64)
+    full = np.flatnonzero(many)
+    if len(full):
+        first = (np.cumsum(many) - many)[full]
+        for k in range(BANDS):
+            key = np.full(len(full), k + 1, dtype=np.uint64)
+            for i in range(k * ROWS, (k + 1) * ROWS):
+                least = np.minimum.reduceat((h * _FACTORS[i] + _SHIFTS[i]) >> np.uint64(32), first)
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            keys[full, k] = key
+    different = np.unique(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
+    sizes = np.bincount((different >> np.uint64(32)).astype(np.int64), minlength=len(count))
+    return keys, different.astype(np.uint32), sizes
+
+
+def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """fingerprints(), and keys (one a band; null for a text without words) and shingles (sorted 32-bit hashes)."""
+
+    def run(batches):
+        for b in batches:
+            for t in text_blocks(b.column(3)):
+                words = normalised(t)
+                fp = shingle_fingerprints(*words, shingle).view(np.int64)
+                keys, sets, sizes = shingle_sets(*words, shingle)
+                edge = np.cumsum(sizes)
+                rows = [k.tolist() if n else None for k, n in zip(keys.view(np.int64), sizes, strict=True)]
+                blobs = [sets[e - n : e].tobytes() for e, n in zip(edge, sizes, strict=True)]
+                cols = [b.column(i).slice(t.first, len(t)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(fp, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["doc_id", "k1", "k2", "fp", "keys", "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    cols = [F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text")]
+    return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long, keys array<long>, shingles binary")
+
+
+def bucket_pairs(signed: DataFrame) -> DataFrame:
+    """fp, end, n: each fingerprint with the least and the greatest of each of its buckets, and the number of bands that say so."""
+    keyed = scratch_table(signed.where("keys IS NOT NULL").select("fp", F.posexplode("keys").alias("band", "key")), "bands")
+    ends = keyed.groupBy("band", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    near = keyed.join(ends, ["band", "key"]).select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp != end")
+    return scratch_table(near.groupBy("fp", "end").agg(F.count("*").alias("n")), "pairs")
+
+
+def similar(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a < b whose shingle sets have that Jaccard similarity. pairs: fp, end; signed: fp, shingles."""
+    sets = signed.select("fp", "shingles")
+    pairs = pairs.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
+                least = similarity * max(len(u), len(v)) <= min(len(u), len(v))
+                both = len(np.intersect1d(u, v, assume_unique=True)) if least else 0
+                keep.append(least and both >= similarity * (len(u) + len(v) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(both, run, "a long, b long")
+
+
+def similar_links(fp: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """edges (a, b), and links between similar texts as far as they join classes. fp: signatures().
+
+    Texts of one fingerprint are taken as copies: the first by key stands for
+    them. Each fingerprint is held against the partner it shares most bands
+    with; then pairs that are still in different classes are.
+    """
+    first = F.min_by(F.struct("keys", "shingles"), F.struct("k1", "k2")).alias("first")
+    signed = scratch_table(fp.groupBy("fp").agg(first).select("fp", "first.keys", "first.shingles"), "sets")
+    pairs = bucket_pairs(signed)
+    best = pairs.groupBy("fp").agg(F.max_by("end", F.struct("n", "end")).alias("end"))
+    edges = scratch_table(edges.union(similar(best, signed, similarity)).distinct(), "links")
+    label = components(edges)
+    root = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = pairs.join(root("fp"), "fp", "left").join(root("end"), "end", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("end_root", "end"))
+    return edges.union(similar(rest, signed, similarity)).distinct()
+
+
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for each pair of bits, how many have both: a 64 x 64 matrix whatever the input."""
 
@@ -232,30 +330,34 @@ def links(fps: DataFrame, *, radius: int = 3) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
-def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
-    """node, root (least node reachable) for every node of edges (a, b); neighbours' minimum, then a jump to the minimum's own.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (least node reachable) for every node of edges (a, b).
 
-    Each round is written to the shared folder. Raises if rounds do not suffice.
+    A round joins each class to the least class that any of its members touches,
+    then follows that class's own choice, so long chains merge as fast as stars.
+    Each round is written to the shared folder; labels only fall, so it ends.
     """
     both = scratch_table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
     label = scratch_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "label")
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        step = label.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("mid"))
-        jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        step = step.join(jump, "mid").select("node", F.least("mid", "far").alias("root"), (F.least("mid", "far") != F.col("old")).cast("int").alias("moved"))
-        step = scratch_table(step, "label")
-        label = step.select("node", "root")
-        if not step.agg(F.max("moved")).first()[0]:
+    while True:
+        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
+        step = label.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("low"))
+        choice = scratch_table(step.groupBy("old").agg(F.min("low").alias("low")), "choice")
+        far = choice.join(choice.select(F.col("old").alias("low"), F.col("low").alias("far")), "low").select(F.col("old").alias("root"), "far")
+        if choice.where("low < old").isEmpty():
             return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        label = scratch_table(label.join(far, "root").select("node", F.col("far").alias("root")), "label")
 
 
-def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Every row's fingerprint; and fp, root for each different fingerprint."""
-    fp = scratch_table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    make = fingerprints if similarity is None else signatures
+    fp = scratch_table(make(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     one = scratch_table(fp.select("fp").distinct(), "distinct")
-    label = components(links(one, radius=radius))
+    edges = links(one, radius=radius)
+    if similarity is not None:
+        edges = similar_links(fp, edges, similarity)
+    label = components(edges)
     return fp, one.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -267,9 +369,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fp.select("doc_id", "fp").join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """docs without all but one row of each component: the row of least id (null ids last; rows alike: one of them)."""
-    fp, roots = _classified(docs, id_col, text_col, shingle, radius)
+    fp, roots = _classified(docs, id_col, text_col, shingle, radius, similarity)
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2")).alias("lead")
     lead = fp.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("lead").alias("lead"))
     lead = lead.select(F.col("lead.k1").alias("__k1"), F.col("lead.k2").alias("__k2")).distinct()
