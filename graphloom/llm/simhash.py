@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, map_arrow, mix64, scratch_table, text_blocks
+from .common import LOWER, RollingHash, drop_scratch, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
 from .xxh import xxh64_ranges
 
 BITS = 64
@@ -141,14 +141,17 @@ def bucket_pairs(signed: DataFrame) -> DataFrame:
     keyed = scratch_table(signed.where("keys IS NOT NULL").select("fp", F.posexplode("keys").alias("band", "key")), "bands")
     ends = keyed.groupBy("band", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     near = keyed.join(ends, ["band", "key"]).select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp != end")
-    return scratch_table(near.groupBy("fp", "end").agg(F.count("*").alias("n")), "pairs")
+    pairs = scratch_table(near.groupBy("fp", "end").agg(F.count("*").alias("n")), "pairs")
+    drop_scratch(keyed)
+    return pairs
 
 
-def similar(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a < b whose shingle sets have that Jaccard similarity. pairs: fp, end; signed: fp, shingles."""
-    sets = signed.select("fp", "shingles")
+def similar(pairs: DataFrame, lead: DataFrame, fp: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a < b whose shingle sets have that Jaccard similarity. pairs: fp, end; lead: fp, k1, k2 of the row of fp whose set counts."""
     pairs = pairs.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = pairs.join(lead.toDF("a", "a1", "a2"), "a").join(lead.toDF("b", "b1", "b2"), "b")
+    sets = fp.select("k1", "k2", "shingles")
+    both = pairs.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"]).select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -170,15 +173,16 @@ def similar_links(fp: DataFrame, edges: DataFrame, similarity: float) -> DataFra
     them. Each fingerprint is held against the partner it shares most bands
     with; then pairs that are still in different classes are.
     """
-    first = F.min_by(F.struct("keys", "shingles"), F.struct("k1", "k2")).alias("first")
-    signed = scratch_table(fp.groupBy("fp").agg(first).select("fp", "first.keys", "first.shingles"), "sets")
+    signed = scratch_table(fp.groupBy("fp").agg(F.min_by("keys", F.struct("k1", "k2")).alias("keys"), F.min(F.struct("k1", "k2")).alias("lead")), "lead")
+    lead = signed.select("fp", "lead.k1", "lead.k2")
     pairs = bucket_pairs(signed)
     best = pairs.groupBy("fp").agg(F.max_by("end", F.struct("n", "end")).alias("end"))
-    edges = scratch_table(edges.union(similar(best, signed, similarity)).distinct(), "links")
+    edges = scratch_table(edges.union(similar(best, lead, fp, similarity)).distinct(), "links")
+    release_shuffles(fp.sparkSession)
     label = components(edges)
     root = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = pairs.join(root("fp"), "fp", "left").join(root("end"), "end", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("end_root", "end"))
-    return edges.union(similar(rest, signed, similarity)).distinct()
+    return edges.union(similar(rest, lead, fp, similarity)).distinct()
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
