@@ -66,8 +66,14 @@ def fingerprint(text, n):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def classes(fps, radius=3):
-    """Least id reachable, by comparing all."""
+def shingles(text):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def classes(fps, radius=3, texts=None, similarity=0.8):
+    """Least id reachable, by comparing all; with texts, those of that similarity are linked too."""
+    sets = [shingles(t) for t in texts] if texts else [set()] * len(fps)
     at = list(range(len(fps)))
 
     def find(i):
@@ -80,6 +86,8 @@ def classes(fps, radius=3):
         for j in range(i):
             if (fps[i][1] ^ fps[j][1]).bit_count() <= radius:
                 at[find(i)] = find(j)
+            elif len(sets[i] & sets[j]) * (1 + similarity) >= similarity * (len(sets[i]) + len(sets[j])) > 0:
+                at[find(i)] = find(j)
     least = {}
     for i, (k, _) in enumerate(fps):
         if k is not None:
@@ -99,10 +107,37 @@ def test_simhash_odd(odd, empty):
     want = Counter(zip([k for k, _ in fps], classes(fps), strict=True))
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd, shingle=5).collect())
     assert got == want
-    kept = simhash.keep_one(odd, shingle=5)
-    assert kept.columns == odd.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(set(classes(fps)))
-    assert simhash.keep_one(empty).count() == simhash.near_duplicates(empty).count() == 0
+    for similarity, texts in ((None, None), (0.8, [r[1] for r in ROWS])):
+        kept = simhash.keep_one(odd, shingle=5, similarity=similarity)
+        assert kept.columns == odd.columns
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(set(classes(fps, texts=texts)))
+    assert simhash.keep_one(empty).count() == simhash.keep_one(empty, similarity=None).count() == simhash.near_duplicates(empty).count() == 0
+
+
+def test_similar_texts(spark):
+    """Copies with words changed here and there are found, others are left alone."""
+    rng = np.random.default_rng(8)
+    rows, groups = [], {}
+    for g in range(60):
+        base = [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(60, 600)))]
+        for c in range(4):
+            words = list(base)
+            for at in rng.choice(len(words), int(len(words) * c * 0.006), replace=False):
+                words[at] = f"new{len(rows)}"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = [(k, fingerprint(t, 5)) for k, t in rows]
+    assert kept == set(classes(fps, texts=[t for _, t in rows]))
+    assert {groups[k] for k in kept} == set(range(60))
+
+
+@pytest.mark.parametrize("n", [2, 300])
+def test_components_of_chains(spark, n):
+    order = np.random.default_rng(n).permutation(n).tolist()
+    edges = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:])] + [(1000 + i, 2000 + i) for i in range(3)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(n)} | {k: 1000 + k % 1000 for i in range(3) for k in (1000 + i, 2000 + i)}
 
 
 def test_simhash_links_random(spark):
@@ -429,7 +464,7 @@ def test_pipeline(spark, sf):
     score = np.concatenate([model.predict(quality.statistics(t)) for t in text_blocks(pa.array([r["text"] for r in rows], pa.string()))])
     rows = [r for r, s in zip(rows, score, strict=True) if s >= 0.3]
     fps = [(r["doc_id"], fingerprint(r["text"], 5)) for r in rows]
-    lead = set(classes(fps))
+    lead = set(classes(fps, texts=[r["text"] for r in rows]))
     rows = [r for r in rows if r["doc_id"] in lead]
     cands = [[(m.start(), m.end(), secrets.stratum(len(m[0])), secrets.cell(secrets.battery(m[0])[4])) for m in secrets.TOKEN.finditer(r["text"]) if not any(s < m.end() and m.start() < e for s, e, _ in secrets.base_spans(r["text"]))] for r in rows]
     least = secrets.thresholds([(h, c, n) for (h, c), n in Counter((x[2], x[3]) for c in cands for x in c).items()], 1e-3)
