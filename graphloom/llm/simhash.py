@@ -11,9 +11,11 @@ Every candidate is verified on all 64 bits.
 Three bits of 64 see texts that share nearly all shingles. Where texts are to be
 joined from a ``similarity`` of their shingle sets on (0.8 differs in ten bits
 of 64 on average, too many for a pigeonhole), ``similar_links`` adds links: ``BANDS``
-keys of ``ROWS`` min-wise hashes bring each fingerprint to the first and the
-last of each bucket, and the exact Jaccard similarity of the sets decides. Work
-stays linear in the size of a bucket.
+keys of ``ROWS`` min-wise hashes put fingerprints into buckets, and the exact
+Jaccard similarity of the sets decides. Bucket ends are compared first, which
+joins most copies; then every pair of a bucket that is still in different
+classes is verified, unless set sizes or parity sketches prove it less similar.
+Large buckets are compared in blocks. Pairs without a common bucket stay apart.
 
 Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle of all its words; no word gives fingerprint 0, which
@@ -22,6 +24,8 @@ links like any other. Repeated rows are kept. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +36,8 @@ from .xxh import xxh64_ranges
 
 BITS = 64
 BANDS, ROWS = 20, 6
+#: Rows and shingles of a bucket that are compared with as many others at a time; most bits of a parity sketch.
+BLOCK, BLOCK_SHINGLES, WIDEST = 4096, 1 << 21, 1 << 16
 _draw = np.random.default_rng(64)
 _FACTORS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -116,8 +122,15 @@ def shingle_sets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np
     return keys, different.astype(np.uint32), sizes
 
 
+def parity_sketch(values: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of values end in i. Two sets differ in as many values as their sketches in bits, at least."""
+    width = min(max(64, 1 << (2 * len(values) - 1).bit_length()), WIDEST) if len(values) else 64
+    odd = np.bincount(values & np.uint32(width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """fingerprints(), and keys (one a band; null for a text without words) and shingles (sorted 32-bit hashes)."""
+    """fingerprints(), and keys (one a band; null for a text without words), shingles (sorted 32-bit hashes) and their sketch."""
 
     def run(batches):
         for b in batches:
@@ -127,23 +140,121 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 keys, sets, sizes = shingle_sets(*words, shingle)
                 edge = np.cumsum(sizes)
                 rows = [k.tolist() if n else None for k, n in zip(keys.view(np.int64), sizes, strict=True)]
-                blobs = [sets[e - n : e].tobytes() for e, n in zip(edge, sizes, strict=True)]
+                parts = [sets[e - n : e] for e, n in zip(edge, sizes, strict=True)]
+                blobs, sketches = [x.tobytes() for x in parts], [parity_sketch(x) for x in parts]
                 cols = [b.column(i).slice(t.first, len(t)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(fp, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["doc_id", "k1", "k2", "fp", "keys", "shingles"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(fp, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "k1", "k2", "fp", "keys", "shingles", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text")]
-    return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long, keys array<long>, shingles binary")
+    return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long, keys array<long>, shingles binary, sketch binary")
 
 
-def bucket_pairs(signed: DataFrame) -> DataFrame:
-    """fp, end, n: each fingerprint with the least and the greatest of each of its buckets, and the number of bands that say so."""
-    keyed = scratch_table(signed.where("keys IS NOT NULL").select("fp", F.posexplode("keys").alias("band", "key")), "bands")
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """band, key, fp, size, low, high: each bucket of two fingerprints or more, with the least and the greatest."""
+    keyed = scratch_table(signed.where("keys IS NOT NULL").select("fp", "size", F.posexplode("keys").alias("band", "key")), "bands")
     ends = keyed.groupBy("band", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    near = keyed.join(ends, ["band", "key"]).select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp != end")
-    pairs = scratch_table(near.groupBy("fp", "end").agg(F.count("*").alias("n")), "pairs")
+    shared = scratch_table(keyed.join(ends, ["band", "key"]), "shared")
     drop_scratch(keyed)
-    return pairs
+    return shared
+
+
+def possible_pairs(size: np.ndarray, group: np.ndarray, side: np.ndarray, sketch: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of different group (and side, where not negative) that may have that similarity; no pair that has it is left out.
+
+    group may change between two steps: pairs that are of one group by then are left out.
+    """
+    width = np.array([len(x) // 8 for x in sketch])
+    kinds = [(w, np.flatnonzero(width == w)) for w in np.unique(width)]
+    words = [np.frombuffer(b"".join(sketch[i] for i in at), dtype=np.uint64).reshape(-1, w) for w, at in kinds]
+    share = (1 - similarity) / (1 + similarity)
+    for i, (w, at) in enumerate(kinds):
+        for j, (_, to) in enumerate(kinds[i:], i):
+            if similarity * size[to].min() > size[at].max() or similarity * size[at].min() > size[to].max():
+                continue
+            y = np.bitwise_xor.reduce(words[j].reshape(len(to), -1, w), axis=1)
+            step = max(1, (1 << 17) // (len(to) * int(w)))
+            for lo in range(0, len(at), step):
+                few = at[lo : lo + step]
+                m, n = size[few][:, None], size[to][None]
+                good = (group[few][:, None] != group[to][None]) & (similarity * np.maximum(m, n) <= np.minimum(m, n))
+                good &= (side[few][:, None] < 0) | (side[few][:, None] != side[to][None])
+                if i == j:
+                    good &= few[:, None] < to[None]
+                a, b = np.nonzero(good)
+                for k in range(0, len(a), step * len(to)):
+                    u, v = a[k : k + step * len(to)], b[k : k + step * len(to)]
+                    apart = np.bitwise_count(words[i][lo + u] ^ y[v]).sum(1, dtype=np.int64)
+                    near = apart <= share * (size[few[u]] + size[to[v]]) + 1e-6
+                    yield few[u[near]], to[v[near]]
+
+
+def is_similar(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    """Do two sets of different values have that Jaccard similarity?"""
+    if similarity * max(len(u), len(v)) > min(len(u), len(v)):
+        return False
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both >= similarity * (len(u) + len(v) - both)
+
+
+def joining_pairs(group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], sketch: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Similar pairs of rows that join all groups which such pairs connect: fewer than rows. Every other pair is in one group then, or less similar."""
+    at, names = np.arange(len(sets)), np.unique(group, return_inverse=True)[1]
+    now, out = names.copy(), []
+
+    def find(i):
+        while at[i] != i:
+            at[i] = at[at[i]]
+            i = at[i]
+        return i
+
+    for a, b in possible_pairs(np.array([len(x) for x in sets]), now, side, sketch, similarity):
+        before = len(out)
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(names[i]), find(names[j])
+            if x != y and is_similar(sets[i], sets[j], similarity):
+                at[x] = y
+                out.append((i, j))
+        if len(out) > before:
+            now[:] = np.array([find(i) for i in range(names.max() + 1)])[names]
+    return out
+
+
+def bucket_links(shared: DataFrame, lead: DataFrame, fp: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """a, b: similar fingerprints of a bucket that join its classes. label: components(); lead, fp: as in similar()."""
+    root = label.select(F.col("node").alias("fp"), "root")
+    rows = shared.join(root, "fp", "left").select("band", "key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    stat = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = stat.select("band", "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, ["band", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    g = F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g")
+    dealt = dealt.select(g, "fp", "root", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
+    leads = lead.join(dealt.select("fp").distinct(), "fp")
+    sets = leads.join(fp.select("k1", "k2", "shingles", "sketch"), ["k1", "k2"]).dropDuplicates(["fp"]).select("fp", "shingles", "sketch")
+
+    def run(batches):
+        def pairs(t):
+            both = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in t["shingles"]]
+            found = joining_pairs(t["root"].to_numpy(), t["side"].to_numpy(), both, t["sketch"].to_pylist(), similarity)
+            a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            name = t["fp"].to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(name[a], name[b])), pa.array(np.maximum(name[a], name[b]))], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+            key = t["g"].to_numpy()
+            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
+            for lo, hi in zip(edge, edge[1:]):
+                yield pairs(t.slice(lo, hi - lo))
+            rest = t.slice(edge[-1])
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    met = dealt.join(sets, "fp").select("g", "fp", "root", "side", "shingles", "sketch").repartition("g").sortWithinPartitions("g")
+    return map_arrow(met, run, "a long, b long")
 
 
 def similar(pairs: DataFrame, lead: DataFrame, fp: DataFrame, similarity: float) -> DataFrame:
@@ -158,9 +269,7 @@ def similar(pairs: DataFrame, lead: DataFrame, fp: DataFrame, similarity: float)
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
-                least = similarity * max(len(u), len(v)) <= min(len(u), len(v))
-                both = len(np.intersect1d(u, v, assume_unique=True)) if least else 0
-                keep.append(least and both >= similarity * (len(u) + len(v) - both))
+                keep.append(is_similar(u, v, similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both, run, "a long, b long")
@@ -170,19 +279,22 @@ def similar_links(fp: DataFrame, edges: DataFrame, similarity: float) -> DataFra
     """edges (a, b), and links between similar texts as far as they join classes. fp: signatures().
 
     Texts of one fingerprint are taken as copies: the first by key stands for
-    them. Each fingerprint is held against the partner it shares most bands
-    with; then pairs that are still in different classes are.
+    them. Each fingerprint is held against the bucket end it shares most bands
+    with; then all pairs of a bucket that are still in different classes are.
     """
-    signed = scratch_table(fp.groupBy("fp").agg(F.min_by("keys", F.struct("k1", "k2")).alias("keys"), F.min(F.struct("k1", "k2")).alias("lead")), "lead")
+    first = lambda c: F.min_by(c, F.struct("k1", "k2"))
+    size = (F.octet_length("shingles") / 4).cast("int")
+    signed = scratch_table(fp.withColumn("size", size).groupBy("fp").agg(*[first(c).alias(c) for c in ("keys", "size")], F.min(F.struct("k1", "k2")).alias("lead")), "lead")
     lead = signed.select("fp", "lead.k1", "lead.k2")
-    pairs = bucket_pairs(signed)
-    best = pairs.groupBy("fp").agg(F.max_by("end", F.struct("n", "end")).alias("end"))
+    shared = shared_buckets(signed)
+    ends = shared.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp != end").groupBy("fp", "end").agg(F.count("*").alias("n"))
+    best = ends.groupBy("fp").agg(F.max_by("end", F.struct("n", "end")).alias("end"))
     edges = scratch_table(edges.union(similar(best, lead, fp, similarity)).distinct(), "links")
     release_shuffles(fp.sparkSession)
-    label = components(edges)
-    root = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.join(root("fp"), "fp", "left").join(root("end"), "end", "left").where(F.coalesce("fp_root", "fp") != F.coalesce("end_root", "end"))
-    return edges.union(similar(rest, lead, fp, similarity)).distinct()
+    more = scratch_table(bucket_links(shared, lead, fp, components(edges), similarity), "more")
+    drop_scratch(shared)
+    release_shuffles(fp.sparkSession)
+    return edges.union(more).distinct()
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:

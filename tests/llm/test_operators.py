@@ -132,6 +132,48 @@ def test_similar_texts(spark):
     assert {groups[k] for k in kept} == set(range(60))
 
 
+@pytest.mark.parametrize("block", [8192, 100])
+def test_similar_texts_of_one_passage(spark, monkeypatch, block):
+    """Pairs of 0.82 among texts that share a passage: strangers have 0.67 and fill the buckets."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    passage, rows = some(202), []
+    for g in range(500):
+        both = some(25)
+        rows += [(2 * g + c, " ".join(passage + both + some(25))) for c in range(2)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), radius=0).collect()}
+    assert len(kept) == 500, f"{len(kept) - 500} of 500 pairs lost"
+
+
+def _closure(n, pairs):
+    """The class of each of n, as a set."""
+    out = [{i} for i in range(n)]
+    for i, j in pairs:
+        both = out[i] | out[j]
+        for k in both:
+            out[k] = both
+    return out
+
+
+def test_possible_pairs():
+    """No pair of the similarity is left out, whatever the sizes; few others stay."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**32, 5000, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 2**32, int(n * x), dtype=np.uint32)])) for n in (1, 4, 30, 60, 500, 520, 600, 4000, 5000) for x in (0, 0.05, 0.1, 0.12, 0.3) for _ in range(3)]
+    size, group = np.array([len(x) for x in sets]), np.arange(len(sets))
+    sketch, side = [simhash.parity_sketch(x) for x in sets], np.full(len(sets), -1)
+    a, b = map(np.concatenate, zip(*simhash.possible_pairs(size, group, side, sketch, 0.8), strict=True))
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    true = {(i, j) for j in range(len(sets)) for i in range(j) if both(i, j) >= 0.8 * (size[i] + size[j] - both(i, j))}
+    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert true <= got and len(got) == len(a) < 1.2 * len(true)
+    joined = simhash.joining_pairs(group, side, sets, sketch, 0.8)
+    assert {(min(p), max(p)) for p in joined} <= true and len(joined) < len(sets)
+    roots = lambda pairs: [min(c) for c in _closure(len(sets), pairs)]
+    assert roots(joined) == roots(true)
+
+
 @pytest.mark.parametrize("n", [2, 300])
 def test_components_of_chains(spark, n):
     order = np.random.default_rng(n).permutation(n).tolist()
