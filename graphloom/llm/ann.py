@@ -8,7 +8,9 @@ sum of squared distances from the query's projections to the bucket's sides.
 Candidates of all tables are scored by matrix products on the original vectors
 in double precision. The number of probes is fitted on a bounded sample of
 queries (``SAMPLE``), for which the true neighbours are found by a full scan:
-the least number at which ``TARGET`` of them lie in probed buckets.
+the least number at which ``TARGET`` of them lie in probed buckets. Where ``MOST_PROBES``
+a table do not reach it, k falls until they do; where no k does, every query is
+compared with all rows.
 
 Equal vectors are indexed once, with their least ids (as many as can appear in a
 result). Large buckets are cut into blocks of rows and of queries. Queries for
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, mix64, scratch_table
 
 TABLES, SAMPLE, TARGET, OCCUPANCY, REACH = 3, 64, 0.965, 400, 3
+MOST_PROBES = 4096
 #: Share of the probes that go first; their best scores are the least that later candidates must reach.
 FIRST = 0.125
 ROW_BLOCK, QUERY_BLOCK = 2048, 4096
@@ -41,10 +44,10 @@ SEED = 7
 class Hashes:
     """k hash values of TABLES tables."""
 
-    def __init__(self, dim: int, rows: int, norm: float, spread: float):
+    def __init__(self, dim: int, rows: int, norm: float, spread: float, k: int | None = None):
         rng = np.random.default_rng(SEED)
         self.norm = norm
-        self.k = max(1, min(24, round(math.log(max(rows / OCCUPANCY, 2)) / math.log(3))))
+        self.k = k or max(1, min(24, round(math.log(max(rows / OCCUPANCY, 2)) / math.log(3))))
         self.width = 1.35 * spread  # about three cells hold most of a projection's spread
         self.a = rng.standard_normal((TABLES, self.k, dim + 1))
         self.b = rng.uniform(0, self.width, (TABLES, self.k))
@@ -169,8 +172,7 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     if not fact["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = math.sqrt(fact["m"])
-    h = Hashes(dim, fact["n"], norm, math.sqrt(max(fact["a"], 1e-30)))
-    probes = _fit(rows, classes, h, dim, most)
+    h, probes = _fit(rows, classes, lambda k: Hashes(dim, fact["n"], norm, math.sqrt(max(fact["a"], 1e-30)), k), dim, most)
     kind_r, kind_q = rows.schema["row"].dataType.simpleString(), classes.schema["q"].dataType.simpleString()
 
     def place(batches):
@@ -198,7 +200,10 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     shape = f"g long, q {kind_q}, v array<double>, least double"
     any_score = F.lit(float("-inf")).alias("least")
     early = math.ceil(FIRST * probes)
-    found = scratch_table(_top(_compare(index, map_arrow(classes.select("q", "v", any_score), visit(0, early), shape), dim, most + 1), most + 1), "found")
+    if probes:
+        found = scratch_table(_top(_compare(index, map_arrow(classes.select("q", "v", any_score), visit(0, early), shape), dim, most + 1), most + 1), "found")
+    else:  # no k reaches TARGET: none found, all are compared with every row
+        found = classes.select("q", F.col("q").alias("row"), F.lit(0.0).alias("score"), F.lit(1).alias("n")).where(F.lit(False))
     if early < probes:
         least = found.where(F.col("n") == most + 1).select("q", F.col("score").alias("least"))
         again = classes.select("q", "v").join(least, "q", "left").select("q", "v", F.coalesce("least", any_score).alias("least"))
@@ -218,11 +223,11 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     return mine.select("query_id", F.posexplode("list").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
-def _fit(rows: DataFrame, classes: DataFrame, h: Hashes, dim: int, most: int) -> int:
-    """Least number of probes at which TARGET of the sample's true neighbours are in probed buckets."""
+def _fit(rows: DataFrame, classes: DataFrame, hashes, dim: int, most: int) -> tuple[Hashes, int]:
+    """Hashes of the greatest k, and least number of probes, at which TARGET of the sample's true neighbours are in probed buckets; 0 where there are none."""
     sample = classes.orderBy(F.xxhash64("q"), "q").limit(SAMPLE).collect()
     if not sample:
-        return 1
+        return hashes(None), 1
     asked = np.array([r["v"] for r in sample])
 
     def scan(batches):
@@ -236,15 +241,25 @@ def _fit(rows: DataFrame, classes: DataFrame, h: Hashes, dim: int, most: int) ->
     near = _top(map_arrow(rows.select("row", "v"), scan, f"q long, row {rows.schema['row'].dataType.simpleString()}, score double"), most)
     true = near.join(rows.select("row", "v"), "row").select("q", "v").collect()  # SAMPLE x most rows
     q = np.array([r["q"] for r in true])
-    cells = h.keys(np.floor(h.project(np.array([r["v"] for r in true]), False)))
-    top = min((2 * REACH + 1) ** h.k, 4096)
-    first = np.full(len(true), top + 1)
-    for k in range(len(sample)):
+    x = np.array([r["v"] for r in true])
+    for k in range(hashes(None).k, 0, -1):
+        h = hashes(k)
+        want, top = _probes_wanted(h, asked, q, x)
+        if want <= top:
+            return h, max(want, 1)
+    return h, 0
+
+
+def _probes_wanted(h: Hashes, asked: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[int, int]:
+    """Least number of probes at which TARGET of x, neighbours of asked[q], are in probed buckets (most + 1: more than most); most."""
+    cells = h.keys(np.floor(h.project(x, False)))
+    top = min((2 * REACH + 1) ** h.k, MOST_PROBES)
+    first = np.full(len(x), top + 1)
+    for k in range(len(asked)):
         keys = h.probes(asked[k : k + 1], top)[0]
         for i in np.flatnonzero(q == k):
             for t in range(TABLES):
                 hit = np.flatnonzero(keys[t] == cells[i, t])
                 if len(hit):
                     first[i] = min(first[i], hit[0] + 1)
-    want = np.sort(first)[max(0, math.ceil(TARGET * len(first)) - 1)]
-    return int(min(max(want, 1), top))
+    return int(np.sort(first)[max(0, math.ceil(TARGET * len(first)) - 1)]), top

@@ -484,6 +484,22 @@ def test_neighbours(spark, sf, duck):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("reach", [ann.REACH, 0])
+def test_neighbours_beyond_most_probes(spark, monkeypatch, reach):
+    """Where the probes do not reach the target (k of many more rows; no cells but the own), recall holds all the same."""
+    monkeypatch.setattr(ann, "OCCUPANCY", 0.05)
+    monkeypatch.setattr(ann, "REACH", reach)
+    x = np.random.default_rng(4).standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(rows, F.col("vec_id") % 50 == 0).collect()}
+    scores = x[::50] @ x.T
+    scores[np.arange(60), np.arange(0, 3000, 50)] = -2
+    true = {(50 * i, int(j)) for i, line in enumerate(scores) for j in np.argsort(-line)[:20]}
+    recall = len(got & true) / len(true)
+    assert recall >= 0.95, recall
+
+
 def test_neighbours_odd(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (None, [1.0, 1.0], 1), (20, [0.5, 0.5], 1), (40, [0.0, 0.0], 1)]
