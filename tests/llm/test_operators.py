@@ -500,14 +500,46 @@ def test_neighbours_beyond_most_probes(spark, monkeypatch, reach):
     assert recall >= 0.95, recall
 
 
+def test_neighbours_of_groups(spark, monkeypatch):
+    """Groups of few rows, cut into blocks, beside each other's: recall holds and scores are exact."""
+    monkeypatch.setattr(ann, "GROUP", 100)
+    monkeypatch.setattr(ann, "OCCUPANCY", 30)
+    monkeypatch.setattr(ann, "ROW_NUMBERS", 16 * 256)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((2000, 16)), np.repeat(rng.standard_normal((1, 16)), 700, axis=0), rng.standard_normal((1, 16)) + 1e-3 * rng.standard_normal((300, 16))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(rows, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+        assert math.isclose(r["score"], x[r["query_id"]] @ x[r["vec_id"]], rel_tol=1e-9, abs_tol=1e-12) and r["rank"] == len(got[r["query_id"]])
+    hits = []
+    for i in range(0, 3000, 50):
+        s = x @ x[i]
+        true = [int(j) for j in np.lexsort((np.arange(3000), -np.round(s, 9))) if j != i][:20]
+        hits.append(len(set(true) & set(got[i])) / 20)
+    assert len(got) == 60 and np.mean(hits) >= 0.95
+
+
+def test_compare_block_brute():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(-3, 4, (500, 3)).astype(float), rng.integers(-3, 4, (40, 3)).astype(float)
+    rows, bucket, least = rng.permutation(500), rng.integers(0, 12, 500), rng.integers(-9, 3, 40).astype(float)
+    who, where = np.nonzero(rng.random((40, 14)) < 0.4)
+    q, r, s = ann.compare_block(x, rows, bucket, y, least, (who, where), 7)
+    for i in range(40):
+        score = x @ y[i]
+        pick = [j for j in np.lexsort((rows, -score)) if bucket[j] in set(where[who == i]) and score[j] >= least[i]][:7]
+        assert [(rows[j], score[j]) for j in pick] == list(zip(r[q == i], s[q == i], strict=True))
+
+
 def test_neighbours_odd(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (None, [1.0, 1.0], 1), (20, [0.5, 0.5], 1), (40, [0.0, 0.0], 1)]
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 2.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (9, [], 1), (60, [2.0], 1), (100, [1.0, 1.0, 1.0], 1), (None, [1.0, 1.0], 1), (20, [0.5, 0.5], 1), (40, [0.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q int")
     got = defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 20, 0.5), (4, 3, 0.0)], 20: [(1, 3, 1.0), (2, 0, 0.5), (3, 1, 0.5), (4, 2, 0.5)]}
+    assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 20, 0.5), (4, 3, 0.0)], 20: [(1, 3, 1.0), (2, 0, 0.5), (3, 1, 0.5), (4, 2, 0.5)], 60: [(1, 8, 2.0)]}
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
