@@ -45,9 +45,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset: a folder of this machine if Spark runs on this machine alone, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}"
     return path.rstrip("/")
 
@@ -76,6 +78,11 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ...: names of any kind then clash with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def id_crc(col: str | Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

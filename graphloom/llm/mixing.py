@@ -4,35 +4,43 @@ Each source gets a target: its weight's share of the total size, at most
 ``repeats`` times what it has; the excess is shared again by weight. Documents
 of a source are shuffled by a hash of their id, once for each repeat. A copy's
 virtual finish time is the source's cumulative size up to the copy's middle,
-divided by the source's target. All sources reach their targets at time 1, and
-the targets add up to the budget, so the stream sorted by finish time over all
-sources is truncated at the total budget where time 1 is passed.
+divided by the source's target. The copies of all sources, sorted by finish
+time, are truncated at the total budget: a time is in if the copies of earlier
+times and half of its own fit. All sources reach their targets at time 1, and
+the targets add up to the budget, so the cut lies at about 1.
 
-The cumulative sums are taken in two steps: within (source, slice of the hash)
-and over the slices' sums, so a source with most of the rows is spread over
-``SLICES`` groups. Only DataFrame operations.
+Cumulative sums are taken in two steps: within slices (of the hash by source, of
+the time over all sources) and over the slices' sums. Slices of the hash grow in
+number with the rows; the cut is narrowed to a slice of times, then to a slice of
+that, so no task sorts more than its slice. The mix itself is sorted by range
+over all sources. Only DataFrame operations.
 
 Defined results: null text has size 0; null source is a source of its own, last
-in order; rows of size 0 take part with taken 0. Repeated rows count one by one.
+in order; rows of size 0 take part with taken 0. Repeated rows count one by one;
+rows of one id share a slice. A very long text is one document of its size. An
+empty table gives no rows. Columns are found by place, so others may have any
+names, dots included. Ties in time are in or out together.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, drop_scratch, numbered, scratch_table
 
-#: Hex digits of the hash that name a slice.
-SLICE_DIGITS = 3
+#: Rows of a slice of the hash, about; slices of time looked at at once.
+SLICE_ROWS, TIME_SLICES = 1 << 16, 4096
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = "mix"
 
 
-def text_size(col: str) -> Column:
+def text_size(col: Column) -> Column:
     """Number of words; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -59,24 +67,28 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     return w.withColumn("target", target).select("source", "source_size", "target")
 
 
-def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, keep: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, before (size of the source's documents ahead) of every row.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size, hash and the columns c0, c1, ... of docs; the first four as a table of its own, written once."""
+    d = numbered(docs)
+    own = {name: F.col(f"c{docs.columns.index(name)}") for name in (id_col, text_col, source_col)}
+    key = F.md5(F.concat_ws("/", F.lit(seed), own[id_col].cast("string")))
+    rows = d.select("*", own[id_col].alias("doc_id"), own[source_col].alias("source"), text_size(own[text_col]).alias("size"), key.alias("hash"))
+    return rows, scratch_table(rows.select("doc_id", "source", "size", "hash"), "sizes")
 
-    keep: with the row's own columns as the struct ``row``.
-    """
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.col(id_col).cast("string")))
-    cols = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(text_col).alias("size"), key.alias("hash")]
-    rows = docs.select(*cols, *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []))
-    rows = rows.withColumn("slice", F.concat(F.substring("hash", 1, SLICE_DIGITS), F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))))
-    part = rows.select("slice", "source", "size")
+
+def schedule(sizes: DataFrame, rows: DataFrame | None = None, *, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """rows (or sizes: doc_id, source, size, hash) with source_size, target, before (size of the source's documents ahead)."""
+    digits = max(3, math.ceil(math.log(max(sizes.count(), 1) / SLICE_ROWS, 16)))
+    name = F.concat(F.substring("hash", 1, digits), F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source")))
+    part = sizes.select(name.alias("slice"), "source", "size")
     sums = part.groupBy("slice", "source").agg(F.sum("size").alias("slice_size"))
     offset = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     targets = source_targets(part, weights, repeats)
     sums = sums.withColumn("offset", F.coalesce(offset, F.lit(0))).join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
     within = Window.partitionBy("slice").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = (sizes if rows is None else rows).withColumn("slice", name).withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = rows.join(sums.select("slice", "offset", "source_size", "target"), "slice")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("offset") + F.col("ahead")).alias("before"), *(["row"] if keep else []))
+    return out.withColumn("before", F.col("offset") + F.col("ahead")).drop("slice", "ahead", "offset")
 
 
 def finish_time(copy: Column) -> Column:
@@ -85,19 +97,60 @@ def finish_time(copy: Column) -> Column:
     return F.when((F.col("target") > 0) & (F.col("size") > 0), middle / F.col("target"))
 
 
-def taken(docs: DataFrame, *, repeats: int = REPEATS, **options) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row."""
-    s = schedule(docs, repeats=repeats, **options)
-    copies = sum((F.coalesce((finish_time(F.lit(e)) <= 1.0).cast("int"), F.lit(0)) for e in range(repeats)), F.lit(0))
+def finish_times(repeats: int) -> Column:
+    return F.filter(F.array(*[finish_time(F.lit(e)) for e in range(repeats)]), lambda t: t.isNotNull())
+
+
+def budget_cut(copies: DataFrame, budget: int) -> float:
+    """The last finish time that is in, from rows (time, size) of all copies; below every time where there is none.
+
+    Times are sorted into slices, the slice that spends the budget into slices
+    again, until one time is left: TIME_SLICES sums reach the driver at once.
+    """
+    spread = copies.select("time", "size", (F.col("time") / (F.col("time") + 1)).alias("at"))
+    low, high, spent, cut = 0.0, 1.0, 0, -1.0
+    while True:
+        place = F.least(F.floor((F.col("at") - low) / (high - low) * TIME_SLICES), F.lit(TIME_SLICES - 1))
+        sums = spread.where((F.col("at") >= low) & (F.col("at") <= high)).groupBy(place.alias("k")).agg(
+            F.sum("size").alias("size"), F.min("time").alias("first"), F.max("time").alias("last"), F.min("at").alias("low"), F.max("at").alias("high")
+        )
+        for s in sorted(sums.collect(), key=lambda s: s["k"]):
+            if s["low"] == s["high"]:  # one time, or times that no slicing tells apart
+                if spent + s["size"] / 2 > budget:
+                    return cut
+            elif spent + s["size"] > budget:
+                low, high = s["low"], s["high"]
+                break
+            spent, cut = spent + s["size"], s["last"]
+        else:
+            return cut
+
+
+def _scheduled(sizes: DataFrame, repeats: int, weights: tuple[int, ...], rows: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """The schedule with each row's finish times, and the last time that is in."""
+    times = scratch_table(schedule(sizes, weights=weights, repeats=repeats).withColumn("times", finish_times(repeats)), "times")
+    budget = sizes.agg(F.sum("size")).first()[0] or 0
+    cut = budget_cut(times.select("size", F.explode("times").alias("time")), budget)
+    if rows is None:
+        return times, cut
+    drop_scratch(times)
+    return schedule(sizes, rows, weights=weights, repeats=repeats).withColumn("times", finish_times(repeats)), cut
+
+
+def taken(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row."""
+    _, sizes = _sized(docs, id_col, text_col, source_col, seed)
+    s, cut = _scheduled(sizes, repeats, weights)
+    copies = F.size(F.filter("times", lambda t: t <= cut))
     return s.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, *, repeats: int = REPEATS, **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """The mix itself: rows of docs, repeated as taken, in the order of their finish times over all sources."""
-    s = schedule(docs, repeats=repeats, keep=True, **options)
-    times = F.filter(F.array(*[finish_time(F.lit(e)) for e in range(repeats)]), lambda t: t <= 1.0)
-    rows = s.select("row", F.explode(times).alias("__finish")).select("row.*", "__finish")
-    return rows.orderBy("__finish").drop("__finish")
+    rows, sizes = _sized(docs, id_col, text_col, source_col, seed)
+    s, cut = _scheduled(sizes, repeats, weights, rows)
+    out = s.withColumn("time", F.explode(F.filter("times", lambda t: t <= cut))).orderBy("time")
+    return out.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 #: The same in DuckDB's SQL, for documents.
@@ -118,10 +171,13 @@ g AS (
 b AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN target > 0 AND size > 0 THEN size * (
-    CAST((before + size / 2.0::DOUBLE) / target <= 1 AS INT) + CAST((1.0::DOUBLE * source_size + before + size / 2.0::DOUBLE) / target <= 1 AS INT)
-    + CAST((2.0::DOUBLE * source_size + before + size / 2.0::DOUBLE) / target <= 1 AS INT)) ELSE 0 END AS BIGINT) AS taken
-FROM b
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+f AS (
+  SELECT row_number() OVER () AS k, doc_id, size, source_size, target, CASE WHEN target > 0 AND size > 0 THEN [
+    (before + size / 2.0::DOUBLE) / target, (1.0::DOUBLE * source_size + before + size / 2.0::DOUBLE) / target,
+    (2.0::DOUBLE * source_size + before + size / 2.0::DOUBLE) / target] ELSE [] END AS times FROM b),
+e AS (SELECT time, sum(size) AS size FROM (SELECT size, unnest(times) AS time FROM f) GROUP BY time),
+r AS (SELECT time, coalesce(sum(size) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS spent FROM e),
+x AS (SELECT coalesce(max(time), -1) AS cut FROM r WHERE spent <= (SELECT sum(size) FROM d))
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(CAST(times[1] <= cut AS INT) + CAST(times[2] <= cut AS INT) + CAST(times[3] <= cut AS INT), 0) AS BIGINT) AS taken FROM f, x
 """

@@ -6,7 +6,9 @@ Two fingerprints within ``radius`` bits agree, for any split of the bits into m
 partitions and thresholds t with sum(t) = radius - m + 1, within t[i] bits on at
 least one partition i. Correlated bits share a partition; partition widths and
 thresholds are chosen by dynamic programming on estimated candidate counts.
-Every candidate is verified on all 64 bits.
+Every candidate is verified on all 64 bits. A bucket hands on one pair for each
+fingerprint but one of a class, not all pairs; crowded buckets are dealt anew by
+parts of their other bits.
 
 Three bits of 64 see texts that share nearly all shingles. Where texts are to be
 joined from a ``similarity`` of their shingle sets on (0.8 differs in ten bits
@@ -20,6 +22,8 @@ Large buckets are compared in blocks. Pairs without a common bucket stay apart.
 Defined results: null text counts as empty; a text of fewer words than a
 shingle is one shingle of all its words; no word gives fingerprint 0, which
 links like any other. Repeated rows are kept. An empty table gives no rows.
+Whole texts count, however long. Columns are found by place, so others may have
+any names, dots included, and stay as they are.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, drop_scratch, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
+from .common import LOWER, RollingHash, drop_scratch, map_arrow, mix64, numbered, release_shuffles, repeat_ranges, scratch_table, text_blocks
 from .xxh import xxh64_ranges
 
 BITS = 64
 BANDS, ROWS = 20, 6
+#: Cost of verifying a pair against that of shuffling a key; pairs verified at once.
+PAIR_COST, PAIRS = 1 / 500, 1 << 20
 #: Rows and shingles of a bucket that are compared with as many others at a time; most bits of a parity sketch.
 BLOCK, BLOCK_SHINGLES, WIDEST = 4096, 1 << 21, 1 << 16
 _draw = np.random.default_rng(64)
@@ -81,11 +87,17 @@ def normalised(texts):
     return out, start, stop - 1, count
 
 
-def row_keys(id_col: str, text_col: str) -> list[Column]:
+def row_keys(id_col: str | Column, text_col: str | Column) -> list[Column]:
     """96 bits that tell rows of different id or text apart."""
     return [F.xxhash64(id_col, text_col).alias("k1"), F.hash(F.lit("row"), text_col, id_col).alias("k2")]
 
 
+def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, k1, k2, text of docs, whatever its other columns are called."""
+    own, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    return numbered(docs).select(own.alias("doc_id"), *row_keys(own, text), text.cast("string").alias("text"))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, k1, k2, fp (the fingerprint's bits as a long) of every row of docs."""
 
@@ -95,9 +107,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64())], names=["doc_id", "k1", "k2", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text")]
-    return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long")
+    docs = _id_text(docs, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs, run, f"doc_id {kind}, k1 long, k2 int, fp long")
 
 
 def shingle_sets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, count: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +157,9 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 cols = [b.column(i).slice(t.first, len(t)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(fp, pa.int64()), pa.array(rows, pa.list_(pa.int64())), pa.array(blobs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "k1", "k2", "fp", "keys", "shingles", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), F.col(text_col).cast("string").alias("text")]
-    return map_arrow(docs.select(*cols), run, f"doc_id {kind}, k1 long, k2 int, fp long, keys array<long>, shingles binary, sketch binary")
+    docs = _id_text(docs, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs, run, f"doc_id {kind}, k1 long, k2 int, fp long, keys array<long>, shingles binary, sketch binary")
 
 
 def shared_buckets(signed: DataFrame) -> DataFrame:
@@ -372,7 +384,7 @@ def _agree(n: int, both: np.ndarray, chain: list[int], top: int) -> np.ndarray:
     return out
 
 
-def plan_partitions(n: int, both: np.ndarray, radius: int = 3, most: int = 4, pair_cost: float = 1.0, row_cost: float = 1.0) -> list[tuple[list[int], int]]:
+def plan_partitions(n: int, both: np.ndarray, radius: int = 3, most: int = 4, pair_cost: float = PAIR_COST, row_cost: float = 1.0) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of least estimated cost with sum(threshold) = radius - m + 1 over m <= most partitions.
 
     Cost: the rows that a partition's keys make (one for t = 0, its width for
@@ -393,8 +405,8 @@ def plan_partitions(n: int, both: np.ndarray, radius: int = 3, most: int = 4, pa
             return 0.0
         if t >= b - a:
             return float("inf")
-        seen = (1.0, 1.0, 1.0)[t] * pairs * agree[a, b, t] * (1 if t == 0 else (b - a) if t == 1 else (b - a) ** 2 / 2)
-        return row_cost * n * keys(b - a, t) + pair_cost * seen
+        seen = pairs * agree[a, b, t] * (1 if t == 0 else (b - a) if t == 1 else (b - a) ** 2 / 2)
+        return row_cost * max(n, 1) * keys(b - a, t) + pair_cost * seen
 
     best: tuple[float, list[tuple[int, int, int]]] = (float("inf"), [])
     for m in range(1, most + 1):
@@ -418,32 +430,101 @@ def plan_partitions(n: int, both: np.ndarray, radius: int = 3, most: int = 4, pa
     return [(sorted(chain[a:b]), t) for a, b, t in best[1] if t >= 0]
 
 
-def _key_array(plan: list[tuple[list[int], int]]) -> Column:
-    """(partition and cleared bits, remaining bits) for each key: fingerprints within t bits on a partition share one."""
-    fp = F.col("fp")
+def key_masks(plan: list[tuple[list[int], int]]) -> list[int]:
+    """A mask of bits for each key of a fingerprint: those within t bits on a partition agree on all bits of one of its masks."""
     out = []
-    for i, (bits, t) in enumerate(plan):
+    for bits, t in plan:
         cleared = [[]] if t == 0 else [[b] for b in bits] if t == 1 else [[a, b] for k, a in enumerate(bits) for b in bits[k + 1 :]]
-        full = sum(1 << b for b in bits)
-        for c in cleared:
-            mask = full & ~sum(1 << b for b in c)
-            mask -= (mask >> 63) << 64
-            tag = i
-            for b in c:
-                tag = tag * 65 + b + 1
-            out.append(F.struct(F.lit(tag).cast("int").alias("tag"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("key")))
-    return F.array(*out)
+        out += [sum(1 << b for b in bits) & ~sum(1 << b for b in c) for c in cleared]
+    return out
+
+
+def _long(mask: int) -> Column:
+    return F.lit(mask - ((mask >> 63) << 64)).cast("long")
+
+
+def _finer(mask: int, radius: int) -> list[int]:
+    """Masks of radius + 1 parts of the other bits: fingerprints within radius agree on all bits of one part."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    return [sum(1 << b for b in rest[k :: radius + 1]) for k in range(radius + 1)]
+
+
+def bucket_forest(fp: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the first row of its bucket that it is joined to by fingerprints within radius, pair by pair. Rows sorted by bucket.
+
+    Every pair of a bucket is verified on all bits, but those of one side (0 or more): another block holds them.
+    """
+    n = len(fp)
+    root = np.arange(n)
+    if not n:
+        return root
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    many = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n))) - np.arange(n) - 1  # later rows of the bucket
+    total = np.cumsum(many)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        i = np.repeat(np.arange(lo, hi), many[lo:hi])
+        j = i + 1 + repeat_ranges(many[lo:hi])
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        near &= (side[i] < 0) | (side[i] != side[j])
+        i, j = i[near], j[near]
+        while len(i):  # the greater root takes the lesser one for its own until no pair is apart
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        lo = hi
+    return root
 
 
 def links(fps: DataFrame, *, radius: int = 3) -> DataFrame:
-    """Pairs a < b of different fingerprints within radius bits, each once. fps: distinct fp."""
+    """Pairs a < b of fingerprints of one class; they join all that are within radius bits of one another, step by step. fps: distinct fp.
+
+    A bucket gives one pair for each fingerprint that isn't the least of its
+    class there, so a dense group makes few pairs. A bucket of more than BLOCK
+    fingerprints is dealt anew by parts of its other bits, as the pigeonhole
+    allows; what is too large even so is compared block by block.
+    """
     n, both = bit_statistics(fps)
-    plan = plan_partitions(n, both, radius)
-    keyed = fps.select("fp", F.inline(_key_array(plan)))
-    a = keyed.select("tag", "key", F.col("fp").alias("a"))
-    b = keyed.select("tag", "key", F.col("fp").alias("b"))
-    near = a.join(b, ["tag", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return near.select("a", "b").distinct()
+    masks = key_masks(plan_partitions(n, both, radius))
+    one = fps.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("tag"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(_long(m))).alias("g")) for i, m in enumerate(masks)])))
+    crowded = lambda df: df.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    parts = zip(*[_finer(m, radius) for m in masks], strict=True)
+    finer = F.array(*[F.xxhash64("g", F.lit(k), F.col("fp").bitwiseAND(F.get(F.array(*map(_long, of)), F.col("tag")))) for k, of in enumerate(parts)])
+    two = one.join(crowded(one), "g", "left").select("fp", F.explode(F.when(F.col("blocks").isNull(), F.array("g")).otherwise(finer)).alias("g"))
+    dealt = two.join(crowded(two), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.select(block.alias("g"), "fp", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
+
+    def run(batches):
+        def joined(g, fp, side):
+            root = bucket_forest(fp.view(np.uint64), g, side, radius)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            a, b = fp[root[at]], fp[at]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list = []
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held and len(cols[0]) and cols[0][-1] == held[0][0][0]:
+                held.append(cols)
+                continue
+            g, fp, side = (np.concatenate(x) for x in zip(*held, cols, strict=True))
+            cut = np.flatnonzero(g[1:] != g[:-1])
+            edge = int(cut[-1]) + 1 if len(cut) else 0
+            if edge:
+                yield joined(g[:edge], fp[:edge], side[:edge])
+            held = [[g[edge:], fp[edge:], side[edge:]]] if len(g) else []
+        if held:
+            yield joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return map_arrow(dealt.repartition("g").sortWithinPartitions("g", "fp"), run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -490,11 +571,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     fp, roots = _classified(docs, id_col, text_col, shingle, radius, similarity)
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "k1", "k2")).alias("lead")
     lead = fp.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("lead").alias("lead"))
-    lead = lead.select(F.col("lead.k1").alias("__k1"), F.col("lead.k2").alias("__k2")).distinct()
-    k1, k2 = row_keys(id_col, text_col)
-    kept = docs.select("*", k1.alias("__k1"), k2.alias("__k2")).join(lead, ["__k1", "__k2"])
-    copy = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
-    return kept.withColumn("__n", copy).where("__n = 1").select(*[kept[c] for c in docs.columns])
+    lead = lead.select("lead.k1", "lead.k2").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    kept = numbered(docs).select("*", *row_keys(own, text)).join(lead, ["k1", "k2"])
+    copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
+    return kept.withColumn("copy", copy).where("copy = 1").select(*names).toDF(*docs.columns)
 
 
 def fingerprint_hex(col: str) -> Column:

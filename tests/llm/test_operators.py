@@ -17,7 +17,7 @@ from graphloom.llm.common import text_blocks
 from graphloom.llm.xxh import xxh64_ranges
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, slice int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, slice int, __k1 string, __finish string, `a.b` int, size int, c0 string"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 ROWS = [
     (1, None, None, None, None, "a", 1), (2, "", "en", "s1", 0, None, None), (3, " \t\n", "fr", "s2", 3, "b", 2), (4, "one", "en", "s1", 3, "c", 3), (5, "Two  words", "de", "s2", 10, "d", 4),
@@ -28,7 +28,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return spark.createDataFrame([(*r, "x", None, 1, 2, "y") for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -194,8 +194,36 @@ def test_simhash_links_random(spark):
             fps.add(f)
     fps = sorted(fps)
     signed = [f - (f >> 63 << 64) for f in fps]
-    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
-    assert got == {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()]
+    at = {f: i for i, f in enumerate(signed)}
+    true = [(i, j) for i, a in enumerate(signed) for j, b in enumerate(signed[:i]) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3]
+    assert _closure(len(signed), [(at[a], at[b]) for a, b in got]) == _closure(len(signed), true) and len(set(got)) == len(got)
+
+
+@pytest.mark.parametrize("block", [4096, 150])
+def test_simhash_dense_group(spark, monkeypatch, block):
+    """5000 fingerprints within 3 bits of one: few links, the same classes as by comparing all; crowded buckets or not."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    flips = (np.uint64(1) << rng.integers(0, 64, (5000, 3)).astype(np.uint64)).T
+    fps = np.unique(np.concatenate([np.uint64(0x0123456789ABCDEF) ^ np.bitwise_xor.reduce(flips), rng.integers(0, 2**63, 3000, dtype=np.uint64)]))
+    root = np.arange(len(fps))
+    while True:
+        new = root.copy()
+        for lo in range(0, len(fps), 500):
+            near = np.bitwise_count(fps[lo : lo + 500, None] ^ fps[None]) <= 3
+            new[lo : lo + 500] = np.where(near, root[None], len(fps)).min(1)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    signed = fps.view(np.int64)
+    got = np.array([tuple(r) for r in simhash.links(spark.createDataFrame([(int(f),) for f in signed], "fp long")).collect()])
+    label = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(got.tolist(), "a long, b long")).collect()}
+    least = {}
+    for f, r in zip(signed.tolist(), root.tolist(), strict=True):
+        least[r] = min(least.get(r, f), f)
+    assert [label.get(f, f) for f in signed.tolist()] == [least[r] for r in root.tolist()] and len(got) <= (4 if block == 4096 else 16) * len(fps)
 
 
 @pytest.mark.parametrize("n", [0, 1, 10**3, 10**6, 10**9])
