@@ -1,10 +1,12 @@
 """Chat formatting: schema fingerprints choose how a record becomes canonical turns.
 
-A layout is a set of nested field paths with the columns or fields that hold a
-turn's role and text. Its fingerprint is the XXH64 of the paths, sorted and
-joined; a table's fingerprint comes from its schema, a JSON record's from the
-record itself, each type replaced by its path. The record's fingerprint picks
-the mapping; nothing is guessed from values.
+A layout is a set of nested field paths with a declarative mapping to a turn's
+role and text. A fingerprint is the MD5 of field paths, sorted and joined. A
+table's paths come from its schema, a JSON record's from the record itself; only
+paths that some layout knows count, so other fields, whatever their names, do
+not matter. The fingerprint is looked up among those of the layouts. Where none
+is equal (a record with the fields of two layouts), the first layout in declared
+order whose paths are all there is taken, and ``exact`` is false.
 
 The template writes a turn as ``<|turn|>role<|text|>text<|end|>``. Control
 strings inside roles and texts are escaped by a backslash after their first
@@ -14,17 +16,22 @@ code-point ranges of assistant texts in the output. Only DataFrame operations.
 
 Defined results: null role or text counts as empty; turns are ordered by turn
 number (null first), role and text; rows alike are turns of their own. A record
-of unknown layout gives no turns and null layout.
+of unknown layout gives no turns and null layout, one with an empty list its
+layout and no turns. An empty table gives no rows. Texts of any length are kept
+whole; a conversation has to fit a task, as it is one row of the output.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that some chat template gives a meaning; none may stand in a text unescaped.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
@@ -40,47 +47,58 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def paths_text(paths: list[str]) -> str:
-    return "\n".join(sorted(paths))
-
-
-def path_fingerprint(paths: list[str]) -> Column:
-    return F.xxhash64(F.lit(paths_text(paths)))
+def path_fingerprint(paths) -> str:
+    """MD5 of field paths, sorted and joined."""
+    return hashlib.md5("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-#: JSON layouts: the shape of the record (as schema_of_variant writes it, types erased), and its turns as SQL on variant v.
-_MSG = "transform(variant_get(v, '$.{a}', 'array<struct<{r}:string,{t}:string>>'), x -> named_struct('role', x.{r}, 'text', x.{t}))"
+#: Layouts of JSON records: nested field paths (``[]``: an element) and the turns as SQL on the variant v, richest first.
+_MSG = "transform(variant_get(v, '$.{a}', 'array<struct<`{r}`:string,`{t}`:string>>'), x -> named_struct('role', {role}, 'text', x.`{t}`))"
 _ONE = "array(named_struct('role', 'user', 'text', variant_get(v, '$.{q}', 'string')), named_struct('role', 'assistant', 'text', variant_get(v, '$.{a}', 'string')))"
+_SAID = "CASE x.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.`from` END"
 RECORDS = {
-    "messages": ("OBJECT<messages: ARRAY<OBJECT<content: _, role: _>>>", _MSG.format(a="messages", r="role", t="content")),
-    "conversations": ("OBJECT<conversations: ARRAY<OBJECT<from: _, value: _>>>", "transform(variant_get(v, '$.conversations', 'array<struct<`from`:string,value:string>>'), x -> named_struct('role', CASE x.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.`from` END, 'text', x.value))"),
-    "prompt_response": ("OBJECT<prompt: _, response: _>", _ONE.format(q="prompt", a="response")),
-    "prompt_completion": ("OBJECT<completion: _, prompt: _>", _ONE.format(q="prompt", a="completion")),
-    "question_answer": ("OBJECT<answer: _, question: _>", _ONE.format(q="question", a="answer")),
-    "instruction": ("OBJECT<instruction: _, output: _>", _ONE.format(q="instruction", a="output")),
+    "messages": (("messages[].content", "messages[].role"), _MSG.format(a="messages", r="role", t="content", role="x.role")),
+    "conversations": (("conversations[].from", "conversations[].value"), _MSG.format(a="conversations", r="from", t="value", role=_SAID)),
     "instruction_input": (
-        "OBJECT<input: _, instruction: _, output: _>",
+        ("input", "instruction", "output"),
         "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), ''))), named_struct('role', 'assistant', 'text', variant_get(v, '$.output', 'string')))",
     ),
+    "instruction": (("instruction", "output"), _ONE.format(q="instruction", a="output")),
+    "prompt_response": (("prompt", "response"), _ONE.format(q="prompt", a="response")),
+    "prompt_completion": (("completion", "prompt"), _ONE.format(q="prompt", a="completion")),
+    "question_answer": (("answer", "question"), _ONE.format(q="question", a="answer")),
 }
-_SCALAR = r": (?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DECIMAL\(\d+,\s*\d+\))"
+_TURNS = "array<struct<role:string,text:string>>"
+
+
+def _has(path: str) -> Column:
+    """Has variant v this path? A JSON null counts; an empty list has the paths of its elements."""
+    head, is_list, tail = path.partition("[].")
+    if not is_list:
+        return F.expr(f"variant_get(v, '$.{head}') IS NOT NULL")
+    return F.expr(f"coalesce(size(try_variant_get(v, '$.{head}', 'array<variant>')) = 0 OR exists(try_variant_get(v, '$.{head}', 'array<variant>'), x -> variant_get(x, '$.{tail}') IS NOT NULL), false)")
 
 
-def record_fingerprint(variant: Column) -> Column:
-    """Fingerprint of a JSON record from its own nested field paths."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(variant), _SCALAR, ": _"))
+def record_fingerprint(known: list[str]) -> Column:
+    """Fingerprint of variant v from those of the known paths (sorted) that it has."""
+    return F.md5(F.concat_ws("\n", *[F.when(_has(p), F.lit(p)) for p in known]))
 
 
 def turns_of_records(df: DataFrame, *, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """conv_id, layout, turn, role, text of each turn of JSON records in any mix of known layouts."""
-    v = df.select(F.col(id_col).alias("conv_id"), F.try_parse_json(F.col(record_col)).alias("v"))
-    v = v.withColumn("fp", record_fingerprint(F.col("v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, (shape, sql) in RECORDS.items():
-        hit = F.col("fp") == F.xxhash64(F.lit(shape))
-        layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(sql)).otherwise(turns)
-    v = v.select("conv_id", layout.alias("layout"), turns.alias("turns"))
-    return v.select("conv_id", "layout", F.posexplode_outer("turns").alias("turn", "t")).select("conv_id", "layout", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    """conv_id, layout, exact, turn, role, text of each turn of JSON records in any mix of known layouts."""
+    own, record = (F.col(f"c{df.columns.index(c)}") for c in (id_col, record_col))
+    known = sorted({p for paths, _ in RECORDS.values() for p in paths})
+    v = numbered(df).select(own.alias("conv_id"), F.try_parse_json(record).alias("v"))
+    v = v.withColumn("print", F.when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), record_fingerprint(known)))
+    by_print = F.create_map(*[F.lit(x) for name, (paths, _) in RECORDS.items() for x in (path_fingerprint(paths), name)])
+    first = F.coalesce(*[F.when(reduce(Column.__and__, map(_has, paths)), F.lit(name)) for name, (paths, _) in RECORDS.items()])
+    v = v.withColumn("exact", F.try_element_at(by_print, F.col("print")))
+    v = v.withColumn("layout", F.coalesce("exact", F.when(F.col("print").isNotNull(), first)))
+    turns = F.lit(None).cast(_TURNS)
+    for name, (_, sql) in RECORDS.items():
+        turns = F.when(F.col("layout") == name, F.expr(sql.replace("variant_get(", "try_variant_get("))).otherwise(turns)
+    v = v.select("conv_id", "layout", F.col("exact").isNotNull().alias("exact"), turns.alias("turns"))
+    return v.select("conv_id", "layout", "exact", F.posexplode_outer("turns").alias("turn", "t")).select("conv_id", "layout", "exact", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
 #: Table layouts by their field paths: columns of conversation, turn, role and text.
@@ -93,14 +111,14 @@ TABLES = {
 
 def turns_of_table(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table with a row a turn; its fingerprint selects the columns, others may follow."""
-    spark: SparkSession = df.sparkSession
     have = field_paths(df.schema)
-    known = [(list(paths), cols) for paths, cols in TABLES.items() if set(paths) <= set(have)]
-    if not known:
+    known = {p for paths in TABLES for p in paths}
+    by_print = {path_fingerprint(paths): cols for paths, cols in TABLES.items()}
+    cols = by_print.get(path_fingerprint({p for p in have if p in known})) or next((cols for paths, cols in TABLES.items() if set(paths) <= set(have)), None)
+    if cols is None:
         raise ValueError(f"no table layout has the fields {sorted(have)}")
-    marks = spark.range(1).select(*[path_fingerprint(p).alias(f"f{i}") for i, (p, _) in enumerate(known)], path_fingerprint([p for p in have if p in known[0][0]]).alias("own")).first()
-    conv, turn, role, text = next(cols for i, (_, cols) in enumerate(known) if marks[f"f{i}"] == marks["own"])
-    return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    conv, turn, role, text = (F.col(f"c{df.columns.index(c)}") for c in cols)
+    return numbered(df).select(conv.alias("conv_id"), turn.alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
 
 
 def escape(col: Column) -> Column:

@@ -1,18 +1,25 @@
 """Vector bin packing of examples into fixed-size training sequences.
 
-Items have three sizes: tokens, segments (one each) and loss-bearing tokens. A
-sequence is filled by the dot-product heuristic: of the items that fit in every
-dimension, take the one with the largest product of its sizes (as shares of the
-limits) and what is left of the sequence. When no item fits into a gap of
-``cut_from`` tokens or more, the largest item is cut to fill it. Texts longer
-than a sequence are cut into full ones first. Items wait in a window of bounded
-size within their task, so nothing is shuffled and ids never leave the task
-that tokenizes them, until they go out. What is left at a task's end is cut into
-sequences of powers of two, which need no padding.
+Items have three sizes: tokens, segments and loss-bearing tokens, each with a
+limit that a sequence keeps. A sequence is filled by the dot-product heuristic:
+of the items that fit in every dimension, take the one with the largest product
+of its sizes and what is left of the sequence, all as shares of the limits. When
+no item fits into a gap of ``cut_from`` tokens or more, the largest item is cut
+to fill it, where items may be cut. Items wait in a window of bounded size within
+their task, so nothing is shuffled and ids never leave the task that tokenizes
+them, until they go out.
+
+``pack_texts`` packs documents: each piece is one segment, and all its ids bear
+loss but a document's first. Texts longer than a sequence are cut into full ones
+first, and what is left at a task's end into sequences of powers of two, which
+need no padding; all limits hold there too. ``pack_rows`` packs uncut examples
+of given sizes, as instruction data: turns are segments, and answers bear loss.
 
 Sequence ids hold the task's partition in their high bits, so a repeated task
 gives the same ones. Defined results: null text counts as empty and gives its
-end id alone; repeated rows are packed one by one; an empty table gives no rows.
+end id alone; repeated rows are packed one by one; items of equal product are
+taken by larger sizes; very long texts are cut as any; an empty table gives no
+rows. Columns are found by place, so others may have any names.
 """
 
 from __future__ import annotations
@@ -27,81 +34,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import map_arrow, text_blocks
+from .common import map_arrow, numbered, text_blocks
 
-SIZE, SEGMENTS, LOSS, CUT_FROM = 1024, 256, 1024, 24
+SIZE, SEGMENTS, LOSS, CUT_FROM = 1024, 32, 1024, 24
 #: Items and tokens that wait in a task.
 WINDOW_ITEMS, WINDOW_TOKENS = 30_000, 8_000_000
 
 
 class Packer:
-    """Fills sequences from items (tokens, loss, payload); payloads are cut by ``cut(payload, n)``."""
+    """Fills sequences from items of kind (tokens, segments, loss); payloads are cut by ``cut(payload, n)`` to (head, kind, tail, kind)."""
 
     def __init__(self, size: int = SIZE, segments: int = SEGMENTS, loss: int = LOSS, cut_from: int = CUT_FROM, cut=None):
-        self.limit = (size, segments, loss)
+        self.limit = np.array([size, segments, loss], dtype=np.int64)
+        if self.limit.min() < 1:
+            raise ValueError("each limit must be 1 or more")
         self.cut_from, self.cut = cut_from, cut
-        self.stock: dict[tuple[int, int], list] = defaultdict(list)
+        self.stock: dict[tuple[int, int, int], list] = defaultdict(list)
         self.items = self.tokens = 0
 
-    def add(self, tokens: int, loss: int, payload) -> None:
-        if tokens > self.limit[0] or loss > self.limit[2]:
+    def fits(self, kind: tuple[int, int, int]) -> bool:
+        return all(a <= b for a, b in zip(kind, self.limit, strict=True))
+
+    def add(self, kind: tuple[int, int, int], payload) -> None:
+        if not self.fits(kind):
             raise ValueError("an item is larger than a sequence")
-        self.stock[tokens, loss].append(payload)
+        self.stock[kind].append(payload)
         self.items += 1
-        self.tokens += tokens
+        self.tokens += kind[0]
 
-    def _take(self, kind: tuple[int, int]):
-        stack = self.stock[kind]
-        out = stack.pop()
+    def _take(self, kind: tuple[int, int, int]):
         self.items -= 1
         self.tokens -= kind[0]
-        return out
+        return self.stock[kind].pop()
 
     def fill(self, down_to: int) -> Iterator[list]:
         """Payloads of one sequence after the other, while more than down_to tokens wait."""
-        size, segments, most_loss = self.limit
-        kinds = np.array(sorted(k for k, v in self.stock.items() if v), dtype=np.int64).reshape(-1, 2)
-        have = np.array([len(self.stock[int(a), int(b)]) for a, b in kinds], dtype=np.int64)
-        where = {(int(a), int(b)): i for i, (a, b) in enumerate(kinds)}
-        extra: list[tuple[int, int]] = []  # kinds made by cuts
+        names = sorted(k for k, v in self.stock.items() if v)
+        where = {k: i for i, k in enumerate(names)}
+        kinds = np.array(names, dtype=np.int64).reshape(-1, 3)
+        have = np.array([len(self.stock[k]) for k in names], dtype=np.int64)
         while self.items and self.tokens > down_to:
-            room, seg, loss, out = size, segments, most_loss, []
-            while room and seg:
-                fits = (have > 0) & (kinds[:, 0] <= room) & (kinds[:, 1] <= loss)
-                pick = np.flatnonzero(fits)
-                best = None
-                if len(pick):
-                    dot = kinds[pick, 0] / size * (room / size) + seg / segments / segments + kinds[pick, 1] / most_loss * (loss / most_loss)
-                    best = int(pick[dot.argmax()])
-                cut_piece = next((k for k in extra if k[0] <= room and k[1] <= loss), None)
-                if cut_piece is not None and (best is None or cut_piece[0] >= kinds[best, 0]):
-                    extra.remove(cut_piece)
-                    payload, kind = self._take(cut_piece), cut_piece
-                elif best is not None:
+            room, out = self.limit.copy(), []
+            while room[0] and room[1]:
+                product = np.where((have > 0) & (kinds <= room).all(1), kinds / self.limit**2.0 @ room, -1.0)
+                best = len(product) - 1 - int(product[::-1].argmax())
+                if product[best] >= 0:
                     have[best] -= 1
-                    kind = int(kinds[best, 0]), int(kinds[best, 1])
+                    kind = names[best]
                     payload = self._take(kind)
-                elif self.cut and room >= self.cut_from and loss >= room:
-                    big = extra[0] if extra else None
-                    if big is None:
-                        at = np.flatnonzero(have > 0)
-                        if not len(at):
-                            break
-                        i = int(at[kinds[at, 0].argmax()])
-                        have[i] -= 1
-                        big = int(kinds[i, 0]), int(kinds[i, 1])
-                    else:
-                        extra.pop(0)
-                    payload, rest, rest_kind, kind = self.cut(self._take(big), big, room)
-                    self.add(*rest_kind, rest)
-                    if rest_kind in where:
-                        have[where[rest_kind]] += 1
+                elif self.cut and min(room[0], room[2]) >= self.cut_from and (have > 0).any():
+                    best = len(have) - 1 - int((have > 0)[::-1].argmax())
+                    have[best] -= 1
+                    payload, kind, tail, rest = self.cut(self._take(names[best]), int(min(room[0], room[2], names[best][0] - 1)))
+                    self.add(rest, tail)
+                    if rest in where:
+                        have[where[rest]] += 1
                     else:
-                        extra.append(rest_kind)
+                        at = int(np.searchsorted(kinds[:, 0] * (1 << 40) + kinds[:, 1] * (1 << 20) + kinds[:, 2], rest[0] * (1 << 40) + rest[1] * (1 << 20) + rest[2]))
+                        names.insert(at, rest)
+                        kinds, have = np.insert(kinds, at, rest, axis=0), np.insert(have, at, 1)
+                        where = {k: i for i, k in enumerate(names)}
                 else:
                     break
                 out.append(payload)
-                room, seg, loss = room - kind[0], seg - 1, loss - kind[1]
+                room -= kind
             yield out
 
     def rest(self) -> list:
@@ -112,11 +108,6 @@ class Packer:
         return out
 
 
-def _pieces_of(n: int) -> list[int]:
-    """n as a sum of powers of two, largest first."""
-    return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
-
-
 class _Piece:
     __slots__ = ("doc", "ids", "start", "total")
 
@@ -124,28 +115,51 @@ class _Piece:
         self.doc, self.start, self.ids, self.total = doc, start, ids, total
 
     @property
-    def kind(self) -> tuple[int, int]:
-        """Tokens and loss-bearing tokens: a document's first id has nothing to be predicted from."""
-        return len(self.ids), len(self.ids) - (self.start == 0)
+    def kind(self) -> tuple[int, int, int]:
+        """Tokens, one segment, loss-bearing tokens: a document's first id has nothing to be predicted from."""
+        return len(self.ids), 1, len(self.ids) - (self.start == 0)
 
     def split(self, n: int) -> tuple[_Piece, _Piece]:
         return _Piece(self.doc, self.start, self.ids[:n], self.total), _Piece(self.doc, self.start + n, self.ids[n:].copy(), self.total)
 
 
-def _cut(piece: _Piece, kind: tuple[int, int], room: int):
-    head, tail = piece.split(min(room, kind[0] - 1))
-    return head, tail, tail.kind, head.kind
+def _cut(piece: _Piece, n: int):
+    head, tail = piece.split(n)
+    return head, head.kind, tail, tail.kind
+
+
+def last_sequences(left: list[_Piece], segments: int, loss: int) -> Iterator[list[_Piece]]:
+    """Sequences of powers of two of tokens, within the limits, of all the pieces."""
+    left = left[::-1]
+    while left:
+        row, tokens, bears = [], 0, 0
+        while left and len(row) < segments and bears + left[-1].kind[2] <= loss:
+            row.append(left.pop())
+            tokens, bears = tokens + row[-1].kind[0], bears + row[-1].kind[2]
+        if not row:  # a piece of more loss than a sequence may have
+            head, tail = left.pop().split(loss)
+            row, tokens = [head], loss
+            left.append(tail)
+        over = tokens - (1 << (tokens.bit_length() - 1))
+        while over >= len(row[-1].ids):
+            over -= len(row[-1].ids)
+            left.append(row.pop())
+        if over:
+            row[-1], tail = row[-1].split(len(row[-1].ids) - over)
+            left.append(tail)
+        yield row
 
 
 def pack_texts(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, size: int = SIZE, segments: int = SEGMENTS, loss: int = LOSS, cut_from: int = CUT_FROM
 ) -> DataFrame:
     """doc_id, start, length, ids (little-endian uint32), doc_tokens, loss_tokens, sequence_id, offset of each piece."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
+    own, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    docs = numbered(docs).select(own.alias("doc_id"), text.cast("string"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    full = min(size, loss)
 
     def run(batches):
-
         code = encoder(tokenizer)
         base = TaskContext.get().partitionId() << 33
         made = 0
@@ -165,7 +179,7 @@ def pack_texts(
             p = [x[0] for x in ready]
             cols = [
                 pa.array([x.doc for x in p], id_type), pa.array([x.start for x in p], pa.int64()), pa.array([len(x.ids) for x in p], pa.int64()),
-                pa.array([x.ids.astype("<u4").tobytes() for x in p], pa.binary()), pa.array([x.total for x in p], pa.int64()), pa.array([x.kind[1] for x in p], pa.int64()),
+                pa.array([x.ids.astype("<u4").tobytes() for x in p], pa.binary()), pa.array([x.total for x in p], pa.int64()), pa.array([x.kind[2] for x in p], pa.int64()),
                 pa.array([x[1] for x in ready], pa.int64()), pa.array([x[2] for x in ready], pa.int64()),
             ]
             ready.clear()
@@ -176,12 +190,12 @@ def pack_texts(
             for t in text_blocks(b.column(1)):
                 ids = b.column(0).slice(t.first, len(t)).to_pylist()
                 for doc, x in zip(ids, code.encode(t, end_id), strict=True):
-                    whole = len(x) // size * size
-                    for s in range(0, whole, size):
-                        place([_Piece(doc, s, x[s : s + size], len(x))])
+                    whole = len(x) // full * full
+                    for s in range(0, whole, full):
+                        place([_Piece(doc, s, x[s : s + full], len(x))])
                     if whole < len(x):
                         rest = _Piece(doc, whole, x[whole:].copy(), len(x))
-                        packer.add(*rest.kind, rest)
+                        packer.add(rest.kind, rest)
                     if packer.items >= WINDOW_ITEMS or packer.tokens >= WINDOW_TOKENS:
                         for pieces in packer.fill(packer.tokens // 4):
                             place(pieces)
@@ -189,27 +203,55 @@ def pack_texts(
                         yield flush()
         for pieces in packer.fill(size - 1):
             place(pieces)
-        left = packer.rest()
-        for n in _pieces_of(sum(len(p.ids) for p in left)):
-            row = []
-            while n:
-                p = left.pop(0)
-                if len(p.ids) > n:
-                    p, tail = p.split(n)
-                    left.insert(0, tail)
-                row.append(p)
-                n -= len(p.ids)
+        for row in last_sequences(packer.rest(), segments, loss):
             place(row)
         if ready:
             yield flush()
 
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")), run, schema)
+    return map_arrow(docs, run, schema)
+
+
+def pack_rows(df: DataFrame, *, id_col: str, tokens_col: str, segments_col: str, loss_col: str, size: int = SIZE, segments: int = SEGMENTS, loss: int = LOSS) -> DataFrame:
+    """id, sequence_id, offset of each row, packed uncut by its three sizes (null: 0). A row larger than a sequence stands alone in one."""
+    columns = [F.col(f"c{df.columns.index(c)}") for c in (id_col, tokens_col, segments_col, loss_col)]
+    rows = numbered(df).select(columns[0].alias("id"), *[F.coalesce(c.cast("long"), F.lit(0)) for c in columns[1:]])
+
+    def run(batches):
+        base, made, packer, kind = TaskContext.get().partitionId() << 33, 0, Packer(size, segments, loss), None
+
+        def out(sequences):
+            nonlocal made
+            ids, at, offset = [], [], []
+            for row in sequences:
+                begin = 0
+                for name, tokens in row:
+                    ids.append(name)
+                    at.append(base + made)
+                    offset.append(begin)
+                    begin += tokens
+                made += 1
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(at, pa.int64()), pa.array(offset, pa.int64())], names=["id", "sequence_id", "offset"])
+
+        for b in batches:
+            kind, alone = b.column(0).type, []
+            for name, *sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if packer.fits(tuple(sizes)):
+                    packer.add(tuple(sizes), (name, sizes[0]))
+                else:
+                    alone.append([(name, sizes[0])])
+            yield out(alone)
+            if packer.items >= WINDOW_ITEMS:
+                yield out(packer.fill(packer.tokens // 4))
+        if packer.items:
+            yield out(packer.fill(-1))
+
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, sequence_id long, offset long")
 
 
-def pack_examples(sizes: list[tuple[int, int]], *, size: int = SIZE, segments: int = SEGMENTS, loss: int = LOSS) -> list[list[int]]:
-    """Pack uncut examples of (tokens, loss-bearing tokens), as for instruction data: their indices by sequence."""
+def pack_examples(sizes: list[tuple[int, int, int]], *, size: int = SIZE, segments: int = SEGMENTS, loss: int = LOSS) -> list[list[int]]:
+    """Pack a list of uncut examples of (tokens, segments, loss-bearing tokens): their indices by sequence."""
     packer = Packer(size, segments, loss)
-    for i, (a, b) in enumerate(sizes):
-        packer.add(a, b, i)
-    return list(packer.fill(0))
+    for i, kind in enumerate(sizes):
+        packer.add(kind, i)
+    return list(packer.fill(-1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,8 +62,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     turns = chat.turns_of_table(read_table(spark, sf_dir, "conversations"))
-    own = spark.sql(f"SELECT -7L conv_id, 0L turn, 'user' role, '{probe}' text UNION ALL SELECT -7L, 1L, 'assistant', '{probe}'")
-    return chat.digests(chat.format_turns(turns.unionByName(own)))
+    record = json.dumps({"messages": [{"role": r, "content": probe} for r in ("user", "assistant")]})
+    own = chat.turns_of_records(spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(record).alias("record")))
+    return chat.digests(chat.format_turns(turns.unionByName(own.drop("layout", "exact"))))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,14 +325,50 @@ def test_packing(spark, sf, docs, odd, empty):
     assert packing.pack_texts(empty, Q.tokenizer_path()).count() == 0
 
 
-def test_packing_examples():
+def test_packing_examples(spark):
+    """Uncut examples under three limits that all bind, from a list and from a table."""
     rng = np.random.default_rng(2)
-    sizes = [(int(t), min(600, int(rng.integers(0, t + 1)))) for t in rng.integers(1, 700, 800)]
+    sizes = [(int(t), int(rng.integers(1, 5)), min(600, int(rng.integers(0, t + 1)))) for t in rng.integers(1, 700, 800)]
     made = packing.pack_examples(sizes, segments=6, loss=600)
     assert sorted(i for s in made for i in s) == list(range(800))
-    for s in made:
-        assert sum(sizes[i][0] for i in s) <= 1024 and len(s) <= 6 and sum(sizes[i][1] for i in s) <= 600
-    assert len(made) <= 1.15 * max(sum(a for a, _ in sizes) / 1024, sum(b for _, b in sizes) / 600)
+    within = lambda s: [sum(sizes[i][k] for i in s) for k in range(3)]
+    assert all(a <= 1024 and b <= 6 and c <= 600 for a, b, c in map(within, made))
+    assert len(made) <= 1.2 * max(sum(s[k] for s in sizes) / n for k, n in enumerate((1024, 6, 600)))
+    open_ = []  # first fit, for comparison
+    for i in range(800):
+        at = next((s for s in open_ if all(x <= y for x, y in zip(within([*s, i]), (1024, 6, 600), strict=True))), None)
+        if at is None:
+            open_.append([i])
+        else:
+            at.append(i)
+    assert len(made) <= len(open_)
+    rows = spark.createDataFrame([(i, *s, 0) for i, s in enumerate(sizes)] + [(800, 5000, 1, 1, 0), (801, None, None, None, 0)], "id long, tokens long, segments int, loss long, `a.b` int")
+    by = defaultdict(list)
+    for r in packing.pack_rows(rows, id_col="id", tokens_col="tokens", segments_col="segments", loss_col="loss", segments=6, loss=600).orderBy("sequence_id", "offset").collect():
+        by[r["sequence_id"]].append(r)
+    sizes += [(5000, 1, 1), (0, 0, 0)]
+    assert sorted(r["id"] for s in by.values() for r in s) == list(range(802))
+    for s in by.values():
+        total = within([r["id"] for r in s])
+        assert (total[0] <= 1024 and total[1] <= 6 and total[2] <= 600) or [r["id"] for r in s] == [800]
+        ends = [r["offset"] + sizes[r["id"]][0] for r in s]
+        assert [r["offset"] for r in s] == sorted([0, *ends[:-1]])
+
+
+@pytest.mark.parametrize(("segments", "loss"), [(256, 1024), (32, 1024), (3, 1024), (32, 100), (1, 1)])
+def test_packing_limits(spark, segments, loss):
+    """The limits hold in every sequence, the last ones of a task too; every id lies in one piece."""
+    rows = [(i, "a" * (i % 3)) for i in range(1500)] + [(2000 + i, " ".join(f"w{j}" for j in range(40 * i))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    by, ids = defaultdict(list), Counter()
+    for r in packing.pack_texts(df, Q.tokenizer_path(), segments=segments, loss=loss).orderBy("sequence_id", "offset").collect():
+        by[r["sequence_id"]].append(r)
+        ids[r["doc_id"]] += r["length"]
+    for s in by.values():
+        assert len(s) <= segments and sum(r["loss_tokens"] for r in s) <= loss and sum(r["length"] for r in s) <= 1024
+        assert [r["offset"] for r in s] == [sum(x["length"] for x in s[:k]) for k in range(len(s))]
+    want = {k: len(x) for t in text_blocks(pa.array([t for _, t in rows])) for (k, _), x in zip(rows[t.first :], bpe.encoder(Q.tokenizer_path()).encode(t, 0), strict=False)}
+    assert ids == want
 
 
 def test_ids_of_odd_texts():
@@ -442,11 +478,26 @@ def test_chat_records(spark):
     recs = [
         (1, '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'), (2, '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'), (3, '{"response": "a", "prompt": "q"}'),
         (4, '{"instruction": "q", "output": "a"}'), (5, '{"output": "a", "instruction": "q", "input": ""}'), (6, '{"question": "q", "answer": "a"}'), (7, '{"completion": "a", "prompt": "q"}'), (8, '{"other": 1}'), (9, None), (10, "not json"),
+        (11, '{"id": 7, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant", "content": "a"}], "meta": {"prompt": 1}}'), (12, '{"prompt": "q", "response": "a", "score": null, "tags": []}'),
+        (13, '{"messages": []}'), (14, '{"prompt": "no", "response": "no", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}'), (15, "[1]"), (16, '"messages"'), (17, '{"prompt": null, "response": "a"}'), (18, '{"messages": "text"}'),
     ]
     got = defaultdict(list)
     for r in chat.turns_of_records(spark.createDataFrame(recs, "conv_id long, record string")).orderBy("conv_id", "turn").collect():
         got[r["conv_id"]].append((r["role"], r["text"]))
-    assert all(got[k] == [("user", "q"), ("assistant", "a")] for k in range(1, 8)) and all(got[k] == [(None, None)] for k in (8, 9, 10))
+    assert all(got[k] == [("user", "q"), ("assistant", "a")] for k in (*range(1, 8), 11, 12, 14)) and all(got[k] == [(None, None)] for k in (8, 9, 10, 13, 15, 16, 18)) and got[17] == [("user", None), ("assistant", "a")]
+    kinds = {r["conv_id"]: (r["layout"], r["exact"]) for r in chat.turns_of_records(spark.createDataFrame(recs, "conv_id long, record string").withColumn("conv_ID2", F.lit(1)).withColumn("a.b", F.lit(1))).collect()}
+    assert kinds[11] == ("messages", True) and kinds[12] == ("prompt_response", True) and kinds[13] == ("messages", True) and kinds[14] == ("messages", False) and kinds[8] == (None, False)
+    assert chat.turns_of_records(spark.createDataFrame([], "conv_id long, record string")).count() == 0
+
+
+def test_chat_table_layouts(spark):
+    """Each table layout, with other columns beside it, gives the same turns; an unknown one is refused."""
+    for names in ("conv_id, turn, role, text", "conversation_id, idx, role, content", "dialog_id, turn_no, speaker, utterance"):
+        cols = [*names.split(", "), "a.b", "score"]
+        df = spark.createDataFrame([(1, 0, "user", "q", 5, 6)], "a long, b long, c string, d string, e int, f int").toDF(*cols)
+        assert [tuple(r) for r in chat.turns_of_table(df).collect()] == [(1, 0, "user", "q")]
+    with pytest.raises(ValueError):
+        chat.turns_of_table(spark.range(1))
 
 
 def test_language(spark, odd, empty):
