@@ -408,15 +408,75 @@ def test_secrets(spark, sf, docs, odd, empty, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(filter(None, r["spans"].split(",")))
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex"))
     df = spark.createDataFrame(SECRETS, "doc_id long, text string")
-    found = {r["doc_id"]: [f"{x['kind']}:{x['start']}:{x['end']}" for x in r["spans"]] for r in secrets.find_secrets(df, rate=0.01).collect()}
+    found = {r["doc_id"]: [f"{x['kind']}:{x['start']}:{x['end']}" for x in r["spans"]] for r in secrets.find_secrets(df).collect()}
     for k, t in SECRETS:
         assert [s for s in found[k] if not s.startswith("random")] == brute_spans(t)
     assert found[5] == ["random:4:36"] and not found[6]
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, rate=0.01).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert clean[5] == "key [secret] end" and clean[7] == "[secret]" and clean[6] == SECRETS[5][1] and clean[3] is None
     assert secrets.redact(odd).count() == len(ROWS) and secrets.find_secrets(empty).count() == secrets.redact(empty).count() == 0
 
 
+def random_tokens(text):
+    """Start, end, stratum and cell of p of the tokens that the battery tests, found one by one."""
+    spans = secrets.base_spans(text or "")
+    return [(m.start(), m.end(), secrets.stratum(len(m[0])), secrets.cell(secrets.battery(m[0])[4])) for m in secrets.TOKEN.finditer(text or "") if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+
+
+def test_secrets_brute(spark):
+    """Random spans of the query against the battery and Benjamini-Hochberg applied to the tokens one by one."""
+    rng = np.random.default_rng(11)
+    key = lambda n: "".join(rng.choice(list(secrets.ALPHABETS["base62"]), n))
+    words = "rechtsschutzversicherungsgesellschaften src/main/java/com/example/service user_account_settings_page getUserNameFromDatabase IMG_20230415_123456789 202401151230450000001234 2024-01-15-backup-final-v2".split()
+    rows = [(i, " ".join([*rng.choice(words, 6), *([f"{key(int(rng.integers(16, 44)))}"] if i % 3 == 0 else []), "deadbeef" * 3, "token=abcdef0123456789abcdef"])) for i in range(120)]
+    cands = {k: random_tokens(t) for k, t in rows}
+    tested = [x for c in cands.values() for x in c]
+    want = set()
+    for h in {x[2] for x in tested}:
+        ps = sorted((10 ** (-x[3] / secrets.SCALE) for x in tested if x[2] == h), reverse=False)
+        most = max((p for k, p in enumerate(ps, 1) if p * len(ps) <= secrets.RATE * ps.count(p) or p * len(ps) <= secrets.RATE * sum(q <= p for q in ps)), default=-1)
+        want |= {(k, s, e) for k, c in cands.items() for s, e, g, x in c if g == h and 10 ** (-x / secrets.SCALE) <= most}
+    got = {(r["doc_id"], x["start"], x["end"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r["spans"] if x["kind"] == "random"}
+    assert got == want and sum(len(rows[k][1][s:e]) >= 24 for k, s, e in got) >= 0.9 * sum(e - s >= 24 and secrets.battery(rows[k][1][s:e])[0] in ("base62", "letters") and k % 3 == 0 and " " not in rows[k][1][s:e] and s > 100 for k, c in cands.items() for s, e, _, _ in c)
+
+
+def test_secrets_level():
+    """P-values keep their level on ordinary long tokens: names of the standard library, made-up names, paths, dates and compounds."""
+    import pydoc_data.topics
+    import sys
+
+    rng = np.random.default_rng(12)
+    plain = {w for w in secrets.TOKEN.findall(" ".join(pydoc_data.topics.topics.values())) if secrets.battery(w)[0] in ("lower", "upper", "letters")}
+    parts = [w for w in " ".join(sys.stdlib_module_names).replace("_", " ").split() if len(w) > 3]
+    join = lambda f, sep: {sep.join(map(f, rng.choice(parts, 4))) for _ in range(700)}
+    dates = {f"{rng.choice(parts)}_20{rng.integers(10, 30)}{rng.integers(1, 13):02}{rng.integers(1, 29):02}_{rng.choice(parts)}" for _ in range(700)}
+    compounds = {"".join(rng.choice("donau dampf schiff fahrt gesellschaft recht schutz versicherung freund schaft bezeug ungen kranken haus".split(), 4)) for _ in range(700)}
+    for tokens in (plain, join(str, "_"), join(str, "/"), join(str.title, ""), join(str.upper, "_"), dates, compounds):
+        p = np.array([secrets.battery(t)[4] for t in sorted(tokens) if len(t) >= secrets.LEAST])
+        for level in (0.01, 0.001, 0.0001):  # where decisions fall
+            assert (p <= level).mean() <= level + 3 * math.sqrt(level / len(p)), (level, (p <= level).mean(), sorted(tokens)[:5])
+
+
+@pytest.mark.parametrize(("alphabet", "n", "share"), [("base62", 24, 0.88), ("base62", 32, 0.95), ("base62", 40, 0.97), ("hex_upper", 32, 0.9)])
+def test_secrets_power(alphabet, n, share):
+    """One random token among 36 others of its length is found, mostly."""
+    rng = np.random.default_rng(13)
+    p = np.array([secrets.battery("".join(rng.choice(list(secrets.ALPHABETS[alphabet]), n)))[4] for _ in range(500)])
+    assert (p <= secrets.RATE / 37).mean() >= share
+
+
+def test_secrets_of_long_texts():
+    """Many spans and tokens in one text take linear time; the union of spans counts."""
+    import time
+
+    text = " ".join(f"token=abcdef{i} someordinarywords{i}here" for i in range(30_000))
+    began = time.perf_counter()
+    spans = secrets.base_spans(text)
+    assert len(spans) == 30_000 == len(secrets.other_tokens(text, spans)) and time.perf_counter() - began < 10
+    inner = [(0, 30, "a"), (2, 4, "b"), (40, 41, "c")]
+    assert [x[:2] for x in secrets.other_tokens("x" * 29 + " " + "y" * 20 + " " + "z" * 20, inner)] == [(51, 71)]
+
+
 def brute_repetition(text):
     text = text or ""
     w = WORD.findall(text)
@@ -635,8 +695,8 @@ def test_pipeline(spark, sf):
     fps = [(r["doc_id"], fingerprint(r["text"], 5)) for r in rows]
     lead = set(classes(fps, texts=[r["text"] for r in rows]))
     rows = [r for r in rows if r["doc_id"] in lead]
-    cands = [[(m.start(), m.end(), secrets.stratum(len(m[0])), secrets.cell(secrets.battery(m[0])[4])) for m in secrets.TOKEN.finditer(r["text"]) if not any(s < m.end() and m.start() < e for s, e, _ in secrets.base_spans(r["text"]))] for r in rows]
-    least = secrets.thresholds([(h, c, n) for (h, c), n in Counter((x[2], x[3]) for c in cands for x in c).items()], 1e-3)
+    cands = [random_tokens(r["text"]) for r in rows]
+    least = secrets.thresholds([(h, c, n) for (h, c), n in Counter((x[2], x[3]) for c in cands for x in c).items()], secrets.RATE)
     for r, c in zip(rows, cands, strict=True):
         r["text"] = secrets.blanked(r["text"], secrets.base_spans(r["text"]) + [(s, e, "random") for s, e, h, k in c if k >= least[h]], "[secret]")
         r["n_chars"] = len(r["text"])
