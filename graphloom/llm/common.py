@@ -54,22 +54,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Scratch tables of this process that are still there, oldest first.
+_TABLES: list[str] = []
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a scratch table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphloom-" in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/graphloom-" in path:
+            _delete(df.sparkSession, path)
+            name = path.rsplit("/", 1)[1]
+            _TABLES[:] = [x for x in _TABLES if not x.endswith(name)]
+
+
+def scratch_mark() -> int:
+    return len(_TABLES)
+
+
+def drop_scratch_since(spark: SparkSession, mark: int, *, keep: int = 1) -> None:
+    """Delete the scratch tables made since the mark, but the last ``keep``: what they were made for is written."""
+    gone = _TABLES[mark : len(_TABLES) - keep]
+    for path in gone:
+        _delete(spark, path)
+    _TABLES[:] = [x for x in _TABLES if x not in gone]
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -83,6 +104,17 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def chosen(df: DataFrame, **names: str) -> DataFrame:
+    """Columns of df under new names, found by place: chosen(df, text="body")."""
+    return numbered(df).select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in names.items()])
+
+
+def map_rows(df: DataFrame, fn) -> DataFrame:
+    """df through fn, which keeps the columns as they are; fn sees them as c0, c1, ..."""
+    d = numbered(df)
+    return map_arrow(d, fn, d.schema).toDF(*df.columns)
+
+
 def id_crc(col: str | Column) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

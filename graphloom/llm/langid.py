@@ -13,7 +13,9 @@ Landmarks and training texts are a bounded sample (``train_rows`` for each
 language at most, by a hash of the id); features of the sample come to the
 driver as bits. Defined results: null text, or one without a letter, is ``und``
 with score 0; equal scores go to the language of smaller code points. Without
-any training language every row is ``und``.
+any training language every row is ``und``. Equal rows get equal results; an
+empty table gives no rows. Texts count whole, however long. Columns are found by
+place, so others may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Texts, id_crc, map_arrow, text_blocks
+from .common import LOWER, Texts, chosen, id_crc, map_arrow, text_blocks
 
 #: Cells by n-gram length; unigrams are exact, longer ones hashed.
 DIMS = {1: 1 << 8, 2: 1 << 13, 3: 1 << 14, 4: 1 << 14}
@@ -125,12 +127,13 @@ def _lettered(t: Texts) -> np.ndarray:
 
 def sample_bits(docs: DataFrame, lang_col: str, text_col: str, id_col: str, train_rows: int) -> tuple[np.ndarray, list[str]]:
     """Presence bits (eight a byte) and languages of train_rows rows of each language or a few more, by a hash of the id."""
-    count = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    docs = chosen(docs, id=id_col, lang=lang_col, text=text_col).where("lang IS NOT NULL")
+    count = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
     if not count:
         return np.zeros((0, WIDTH // 8), dtype=np.uint8), []
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     rate = F.create_map(*[F.lit(x) for k, v in count.items() for x in (k, min(1.0, train_rows / v))])
-    chosen = docs.where(F.col(lang_col).isNotNull()).where(draw < F.element_at(rate, F.col(lang_col)))
+    some = docs.where(draw < F.element_at(rate, F.col("lang")))
 
     def run(batches):
         for b in batches:
@@ -142,7 +145,7 @@ def sample_bits(docs: DataFrame, lang_col: str, text_col: str, id_col: str, trai
                     keep = ok[lo : lo + ROWS]
                     yield pa.RecordBatch.from_arrays([langs.slice(lo, len(bits)).filter(pa.array(keep)), pa.array([x.tobytes() for x in bits[keep]], pa.binary())], names=["lang", "bits"])
 
-    rows = map_arrow(chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string")), run, "lang string, bits binary").collect()  # train_rows x languages, 5 KB each
+    rows = map_arrow(some.select("lang", F.col("text").cast("string")), run, "lang string, bits binary").collect()  # train_rows x languages, 5 KB each
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
     if not rows:
         return np.zeros((0, WIDTH // 8), dtype=np.uint8), []
@@ -153,7 +156,8 @@ def identify(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_
     """doc_id, lang_pred, score (0 to 1) of every row of docs, learnt from train's text and non-null languages."""
     bits, lang = sample_bits(train, lang_col, text_col, id_col, train_rows)
     model = KernelRidge(bits, lang, landmarks) if lang else None
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = chosen(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -170,7 +174,7 @@ def identify(docs: DataFrame, train: DataFrame, *, id_col: str = "doc_id", text_
                         pred = [model.langs[k] if g else "und" for k, g in zip(best, ok[lo:hi], strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first + lo, hi - lo), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")), run, f"doc_id {kind}, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

@@ -36,7 +36,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, map_arrow, mix64, release_shuffles, scratch_table, text_blocks
+from .common import LOWER, RollingHash, map_arrow, mix64, numbered, release_shuffles, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -146,9 +146,10 @@ def make_chunks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> D
         if held:
             yield emit()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("trained"), F.col(text_col).cast("string").alias("text")]
-    return map_arrow(docs.select(*cols), run, f"chunk long, tokens long, docs array<{kind}>, trained binary, sizes binary, words binary, at binary")
+    at = [f"c{docs.columns.index(c)}" for c in (id_col, text_col)]
+    own = numbered(docs.select("*", F.coalesce(train, F.lit(False)))).select(F.col(at[0]).alias("id"), F.col(f"c{len(docs.columns)}").alias("trained"), F.col(at[1]).cast("string").alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    return map_arrow(own, run, f"chunk long, tokens long, docs array<{kind}>, trained binary, sizes binary, words binary, at binary")
 
 
 class Chunk:

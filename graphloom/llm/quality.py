@@ -9,7 +9,10 @@ indexing.
 
 Defined results: null text counts as empty and is scored like any other. A
 document labelled more than once counts once for each label. Without any label
-every score is 0.5.
+every score is 0.5. Equal rows get equal scores; a score at the threshold is
+kept; an empty table gives no rows. Texts count whole, however long; the length
+of the longest word counts up to 200. Columns are found by place, so others may
+have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, map_arrow, text_blocks
+from .common import Texts, chosen, map_arrow, map_rows, text_blocks
 from .textstats import SYMBOL, TextStats
 
 TRAIN_ROWS, BINS, TREES, DEPTH, RATE, LEAF, L2 = 20_000, 64, 80, 5, 0.15, 20, 1.0
@@ -147,7 +150,7 @@ class BoostedTrees:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> BoostedTrees:
     """Fit on train_rows labelled documents or a few more, chosen by a hash of the id."""
-    labels = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
+    labels = chosen(labels, __id=id_col, __y=label_col).where(F.col("__y").isin(0, 1)).withColumn("__y", F.col("__y").cast("double"))
     n = labels.count()
     draw = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, train_rows / max(n, 1)) * (1 << 30))
 
@@ -157,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 x = statistics(t)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), pa.array([r.tobytes() for r in x], pa.binary())], names=["__id", "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    some = docs.where(draw(id_col)).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
+    some = chosen(docs, __id=id_col, __t=text_col).where(draw("__id")).withColumn("__t", F.col("__t").cast("string"))
+    kind = some.schema["__id"].dataType.simpleString()
     some = some.join(labels.where(draw("__id")).select("__id").distinct(), "__id", "left_semi")
     x = map_arrow(some, run, f"__id {kind}, x binary")
     rows = x.join(labels.where(draw("__id")), "__id").collect()  # about train_rows rows of 120 bytes
@@ -169,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: BoostedTrees, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = chosen(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -177,7 +181,7 @@ def score(docs: DataFrame, model: BoostedTrees, *, id_col: str = "doc_id", text_
                 p = model.predict(statistics(t))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")), run, f"doc_id {kind}, score double")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: BoostedTrees, *, text_col: str = "text", least: float = 0.3) -> DataFrame:
@@ -189,4 +193,4 @@ def keep_good(docs: DataFrame, model: BoostedTrees, *, text_col: str = "text", l
             keep = [model.predict(statistics(t)) >= least for t in text_blocks(b.column(at))]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=bool)))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_rows(docs, run)

@@ -4,7 +4,9 @@ Words are hashed by a rolling polynomial hash (64 bits, per text), n-grams by
 mixing their words' hashes; nothing leaves the task that reads a text.
 
 Defined results: null text counts as empty: every count is 0 and the base rule
-fails it. Repeated rows are judged one by one; an empty table gives no rows.
+fails it. Repeated rows are judged one by one; an empty table gives no rows. A
+share at its limit passes. Texts count whole, however long. Columns are found by
+place, so others may have any names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_blocks
+from .common import chosen, map_arrow, map_rows, text_blocks
 from .textstats import SYMBOL, TextStats, sums
 
 #: Most of a text's word characters that may lie in n-grams found twice or more (first included), by n.
@@ -46,7 +48,8 @@ def measure(texts) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
 def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base counts, shares (dup_<n>gram, dup_line_chars, dup_lines), base_failed and kept of every row."""
     shares = [*(f"dup_{n}gram" for n in NGRAM_SHARE), "dup_line_chars", "dup_lines"]
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = chosen(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -56,7 +59,7 @@ def repetition(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(counts[c], pa.int64()) for c in COUNTS), *(pa.array(share[c], pa.float64()) for c in shares)], names=["doc_id", *COUNTS, *shares])
 
     schema = ", ".join([f"doc_id {kind}", *(f"{c} long" for c in COUNTS), *(f"{c} double" for c in shares)])
-    out = map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")), run, schema)
+    out = map_arrow(docs.select("doc_id", F.col("text").cast("string")), run, schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = (F.col("dup_line_chars") <= LINE_CHAR_SHARE) & (F.col("dup_lines") <= LINE_SHARE)
     for n, most in NGRAM_SHARE.items():
@@ -79,4 +82,4 @@ def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 keep.append(ok)
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=bool)))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_rows(docs, run)

@@ -541,9 +541,14 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("low"))
         choice = scratch_table(step.groupBy("old").agg(F.min("low").alias("low")), "choice")
         far = choice.join(choice.select(F.col("old").alias("low"), F.col("low").alias("far")), "low").select(F.col("old").alias("root"), "far")
-        if choice.where("low < old").isEmpty():
+        done = choice.where("low < old").isEmpty()
+        if not done:
+            before, label = label, scratch_table(label.join(far, "root").select("node", F.col("far").alias("root")), "label")
+            drop_scratch(before)
+        drop_scratch(choice)
+        if done:
+            drop_scratch(both)
             return label
-        label = scratch_table(label.join(far, "root").select("node", F.col("far").alias("root")), "label")
 
 
 def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
