@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import langid, mixing, packing, quality, secrets, simhash
-from graphloom.llm.common import read_table, scratch_table
+from graphloom.llm.common import drop_scratch, drop_scratch_since, read_table, scratch_mark, scratch_table
 from graphloom.llm.queries import tokenizer_path
 
 
@@ -54,9 +54,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents: a row for each piece of the packed sequences.
+
+    Null texts count as empty, null ids as an id of their own; rows alike are one
+    group of copies; other columns, whatever their names, go along until the
+    last stage; very long texts are kept whole; an empty table gives no rows, and
+    without labels no document is rejected. A stage's own scratch tables and its
+    input are deleted when its output is written.
+    """
     docs = read_table(spark, sf_dir, "documents")
+    last = None
     for i, (_, stage) in enumerate(STAGES):
+        mark = scratch_mark()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch_table(docs, f"stage{i}")
+            drop_scratch_since(spark, mark)
+            if last is not None:
+                drop_scratch(last)
+            last = docs
     return docs
