@@ -20,9 +20,9 @@ from .common import chosen, map_arrow, map_rows, text_blocks
 from .textstats import SYMBOL, TextStats, sums
 
 #: Most of a text's word characters that may lie in n-grams found twice or more (first included), by n.
-NGRAM_SHARE = {5: 0.40, 6: 0.39, 7: 0.38, 8: 0.37, 9: 0.36, 10: 0.35}
+NGRAM_SHARE = {5: 0.32, 6: 0.31, 7: 0.30, 8: 0.29, 9: 0.28, 10: 0.25}
 #: Most of the line characters, and of the lines, that may be repeats of an earlier line.
-LINE_CHAR_SHARE, LINE_SHARE = 0.30, 0.50
+LINE_CHAR_SHARE, LINE_SHARE = 0.20, 0.40
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

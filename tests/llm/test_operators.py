@@ -501,6 +501,39 @@ def test_repetition(spark, sf, docs, odd, empty):
     assert repetition.keep_good(odd).columns == odd.columns and repetition.repetition(empty).count() == 0
 
 
+def brute_kept(text):
+    """Shares of characters in n-grams and lines said before, counted word by word, and the verdict."""
+    text = text or ""
+    n_words, chars, _, dup, repeat = brute_repetition(text)
+    w, share = WORD.findall(text), {}
+    for n in repetition.NGRAM_SHARE:
+        grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        inside = {j for i in range(len(w) - n + 1) if grams[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        share[n] = sum(len(w[j]) for j in inside) / max(chars, 1)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    later = [x for i, x in enumerate(lines) if x in lines[:i]]
+    line_chars, line_share = sum(map(len, later)) / max(sum(map(len, lines)), 1), dup / max(text.count("\n") + 1, 1)
+    base = n_words < 50 or 100 * repeat > 50 * n_words
+    return share, line_chars, line_share, base, not base and line_chars <= repetition.LINE_CHAR_SHARE and line_share <= repetition.LINE_SHARE and all(share[n] <= m for n, m in repetition.NGRAM_SHARE.items())
+
+
+def test_repetition_kept(spark, docs):
+    """Shares and verdict against a count word by word; documents with repeated passages or lines planted fail, the same without them pass."""
+    rng = np.random.default_rng(14)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4000, n))
+    rows = [(k, t) for k, t in docs][:120]
+    for i in range(30):
+        body, part = [some(12) for _ in range(20)], some(40)
+        rows += [(1000 + i, "\n".join(body)), (2000 + i, " ".join([*body[:10], part, *body[10:], part, part])), (3000 + i, "\n".join([*body, *body[:6]]))]
+    got = {r["doc_id"]: r for r in repetition.repetition(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        share, line_chars, line_share, base, kept = brute_kept(t)
+        r = got[k]
+        assert all(math.isclose(r[f"dup_{n}gram"], x, abs_tol=1e-9) for n, x in share.items()), k
+        assert math.isclose(r["dup_line_chars"], line_chars, abs_tol=1e-9) and (r["base_failed"], r["kept"]) == (base, kept), k
+    assert all(got[k]["kept"] == (k < 2000) and not got[k]["base_failed"] for k, _ in rows if 1000 <= k < 4000)
+
+
 def test_covered_share_brute():
     from graphloom.llm.textstats import TextStats
 
