@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -120,9 +121,35 @@ def id_crc(col: str | Column) -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
+def _libc():
+    """The C library, if it is one whose heap can be told to give memory back."""
+    try:
+        lib = ctypes.CDLL(None)
+        return lib if hasattr(lib, "mallopt") and hasattr(lib, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def hand_back(fn):
+    """fn, a function of batches, such that its worker gives freed memory back: large arrays at once, the rest when the task ends."""
+
+    def run(batches):
+        lib = _libc()
+        if lib is not None:
+            lib.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD: arrays of 4 MB or more are pages of their own
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if lib is not None:
+                lib.malloc_trim(0)
+
+    return run
+
+
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(hand_back(fn), schema)
 
 
 class Texts:

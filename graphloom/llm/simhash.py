@@ -41,7 +41,7 @@ from .xxh import xxh64_ranges
 BITS = 64
 BANDS, ROWS = 20, 6
 #: Cost of verifying a pair against that of shuffling a key; pairs verified at once.
-PAIR_COST, PAIRS = 1 / 500, 1 << 20
+PAIR_COST, PAIRS = 1 / 500, 1 << 17
 #: Rows and shingles of a bucket that are compared with as many others at a time; most bits of a parity sketch.
 BLOCK, BLOCK_SHINGLES, WIDEST = 4096, 1 << 21, 1 << 16
 _draw = np.random.default_rng(64)
