@@ -141,7 +141,7 @@ class Builder:
             iri = _text(fn, "a function")
             if not known_function(iri):
                 raise UnsupportedMapping(f"unknown function {iri}")
-            return TermMap("function", iri, term_type or "literal", lang, datatype)
+            return TermMap("function", iri, term_type or "literal", lang, datatype, self.inputs(value))
         text = _text(value, f"a {kind}")
         if term_type is None:
             typed = lang is not None or datatype is not None
@@ -153,6 +153,18 @@ class Builder:
                 raise MappingError(str(e)) from None
         return TermMap(kind, text, term_type, lang if term_type == "literal" else None, datatype if term_type == "literal" else None)
 
+    def inputs(self, node: Term) -> tuple[tuple[str, TermMap], ...]:
+        """A functionExecution's parameters, sorted, and the maps of their values."""
+        g, out = self.graph, {}
+        for i in g.all(node, "input"):
+            name = g.one(i, "parameter", "an input") or next((g.one(m, "constant", "a parameterMap") for m in g.all(i, "parameterMap")), None)
+            values = [_constant(v) for v in g.all(i, "inputValue")] + [self.term_map(m, "object") for m in g.all(i, "inputValueMap")]
+            if name is None or len(values) != 1:
+                raise MappingError("an input needs one parameter and one value")
+            if out.setdefault(_text(name, "a parameter"), values[0]) is not values[0]:
+                raise MappingError(f"parameter {name} is given twice")
+        return tuple(sorted(out.items()))
+
     def constant_of(self, node: Term, short: str, full: str) -> str | None:
         """A language or datatype, which must be constant."""
         found = list(self.graph.all(node, short))

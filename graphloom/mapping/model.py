@@ -23,20 +23,21 @@ class LogicalSource:
 
 @dataclass(frozen=True)
 class TermMap:
-    """kind: template, reference, constant or function; term_type: iri, bnode or literal."""
+    """kind: template, reference, constant or function; term_type: iri, bnode or literal; inputs: a function's parameters and their values."""
 
     kind: str
     value: str
     term_type: str
     lang: str | None = None
     datatype: str | None = None
+    inputs: tuple[tuple[str, TermMap], ...] = ()
 
     def references(self) -> list[str]:
         if self.kind == "reference":
             return [self.value]
         if self.kind == "template":
             return [s.name for s in parse_template(self.value) if isinstance(s, Ref)]
-        return []
+        return [n for _, t in self.inputs for n in t.references()]
 
     def retyped(self, term_type: str) -> TermMap:
         return replace(self, term_type=term_type)
@@ -58,4 +59,4 @@ class Rule:
         return [t for t in (self.subject, self.predicate, self.object, self.graph) if t is not None]
 
     def constant(self) -> bool:
-        return self.parent is None and all(t.kind in ("constant", "function") for t in self.terms())
+        return self.parent is None and all(t.kind in ("constant", "function") and not t.references() for t in self.terms())

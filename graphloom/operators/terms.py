@@ -68,7 +68,7 @@ def compile_term(term: TermMap, value_of: Callable[[str], Column], base: str) ->
         return F.lit(whole), None
     check = False
     if term.kind == "function":
-        value = call_function(term.value)
+        value = call_function(term.value, {name: _raw(t, value_of) for name, t in term.inputs})
     elif term.kind == "reference":
         value, check = value_of(term.value), True
     else:
@@ -87,6 +87,17 @@ def compile_term(term: TermMap, value_of: Callable[[str], Column], base: str) ->
     return F.concat(F.lit("<"), value, F.lit(">")), invalid_iri(value) if check or term.kind == "function" else None
 
 
+def _raw(term: TermMap, value_of: Callable[[str], Column]) -> Column:
+    """A value before it becomes a term, as functions get it."""
+    if term.kind == "constant":
+        return F.lit(term.value)
+    if term.kind == "reference":
+        return value_of(term.value)
+    if term.kind == "function":
+        return call_function(term.value, {name: _raw(t, value_of) for name, t in term.inputs})
+    return F.concat(*[F.lit(s) if isinstance(s, str) else value_of(s.name) for s in parse_template(term.value)], F.lit(""))
+
+
 def keeps_apart(term: TermMap, base: str) -> set[str]:
     """References whose values can be read off the term, so that different values give different terms."""
     if term.kind == "reference":

@@ -2,7 +2,8 @@
 
 Two rules are disjoint if at one position their fixed prefixes exclude each
 other, both are constants and differ, or their literals' suffixes differ. Groups
-are the connected components of what isn't provably disjoint.
+are the connected components of what isn't provably disjoint. Rules that are
+groups of their own and read one source that has to be parsed share its scan.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from ..mapping.model import LogicalSource, MappingError, Rule, TermMap
-from ..operators.rules import Options, compile_rule, empty
+from ..operators.rules import Options, compile_rule, compile_together, empty, shares_scan
 from ..operators.terms import fixed_prefix, fold_constant, literal_suffix
 from ..sources import SourceCatalog
 
@@ -61,7 +62,15 @@ class Plan:
     def compile(self, catalog: SourceCatalog, options: Options, *, dedup: bool = True) -> DataFrame:
         """s, p, o, g of all rules: a set, unless dedup is off."""
         parts = []
+        alone: dict[LogicalSource, list[Rule]] = {}
+        for group in self.groups if dedup else []:
+            if len(group) == 1 and catalog.open(group[0].source).parsed and shares_scan(group[0], options):
+                alone.setdefault(group[0].source, []).append(group[0])
+        together = [rules for rules in alone.values() if len(rules) > 1]
+        parts += [compile_together(rules, catalog, options) for rules in together]
         for group in self.groups:
+            if any(group[0] in rules for rules in together):
+                continue
             if len(group) == 1 or not dedup:
                 parts += [compile_rule(r, catalog, options, distinct=dedup) for r in group]
             else:
@@ -82,5 +91,5 @@ class Plan:
 
 def _rule(d: dict) -> Rule:
     source = lambda x: LogicalSource(**x) if x else None
-    term = lambda x: TermMap(**x) if x else None
+    term = lambda x: TermMap(**{**x, "inputs": tuple((n, term(t)) for n, t in x.get("inputs", ()))}) if x else None
     return Rule(source(d["source"]), term(d["subject"]), term(d["predicate"]), term(d["object"]), term(d["graph"]), source(d["parent"]), tuple(map(tuple, d["joins"])))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -9,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import execute_plan, make_plan, materialize
+from .functions.registry import register_function
 from .functions.text import ENCODED
 from .mapping.build import NS
-from .sinks import count_by_predicate, lines
+from .mapping.model import MappingError
+from .sinks import count_by_predicate, lines, print_lines, to_string, write_lines
 
 PREFIX = f"@prefix rml: <{NS}> .\n@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n@prefix ex: <http://ex.org/> .\n@prefix grel: <http://users.ugent.be/~bjdmeest/function/grel.ttl#> .\n"
 EX = "http://ex.org/"
@@ -253,6 +258,209 @@ def q_date_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["q_date_now"] = (q_date_now, f"SELECT {iri(EX + 'region/', 'r_regionkey')} AS s, true AS ok FROM region")
 
 
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares, or of this machine where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphloom-files"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def query(sql: str):
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = (fn, sql)
+        return fn
+
+    return add
+
+
+_ORDER_PRIORITY = spo(ORDER_S, "priority", lit("o_orderpriority"), "orders")
+_ORDER_LINES = tmap("o", "orders", template("http://ex.org/order/{o_orderkey}"), ref("priority", "o_orderpriority"))
+
+
+def _csv_file(spark: SparkSession, sf_dir: str, ending: str, **options) -> DataFrame:
+    path = f"{_folder(spark, 'orders')}.{ending}"
+    _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").write.options(header=True, **options).csv(path)
+    return _run(_ORDER_LINES.replace("orders.parquet", path), spark, "")
+
+
+@query(_ORDER_PRIORITY)
+def q_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv_file(spark, sf_dir, "csv")
+
+
+@query(_ORDER_PRIORITY)
+def q_tsv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _csv_file(spark, sf_dir, "tsv", sep="\t")
+
+
+_CUST_ROWS = _union(*[spo(iri(EX + "customer/", "c_custkey"), p, lit(c), "customer", "c_nationkey < 5" if p == "nation" else "true") for p, c in (("name", "c_name"), ("nation", "c_nationkey"))])
+_CUST_JSON = tmap("c", "customer.json", template("http://ex.org/customer/{id}"), ref("name", "name"), ref("nation", "at.nation"), iterator="$")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.when(F.col("c_nationkey") < 5, F.struct(F.col("c_nationkey").alias("nation"))).alias("at")
+    return _table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), at)).alias("doc"))
+
+
+@query(_CUST_ROWS)
+def q_json_lines_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark, 'customer')}.jsonl"
+    _customers(spark, sf_dir).write.text(path)
+    return _run(_CUST_JSON.replace("customer.json", path), spark, "")
+
+
+@query(_CUST_ROWS)
+def q_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark, 'customer')}.json"
+    rows = _customers(spark, sf_dir).agg(F.to_json(F.struct(F.collect_list("doc").alias("rows"))).alias("text"))
+    rows.select(F.regexp_replace("text", r'\\"', '"').alias("text")).select(F.regexp_replace(F.regexp_replace("text", r'"\{', "{"), r'\}"', "}")).write.text(path)
+    return _run(_CUST_JSON.replace("customer.json", path).replace('"$"', '"$.rows[*]"'), spark, "")
+
+
+@query(_union(*[f"SELECT '<{EX}r/{i}>' AS s, '<{EX}n>' AS p, '\"{v}\"' AS o" for i, v in enumerate("xyz")]))
+def q_json_inmemory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = '{"a": [{"i": 0, "n": "x"}, {"i": 1, "n": "y"}, {"i": 2, "n": "z"}, {"i": 3, "n": null}]}'
+    return _run(tmap("t", "t.json", template("http://ex.org/r/{i}"), ref("n", "n"), iterator="$.a[*]"), spark, sf_dir, sources={"t.json": text})
+
+
+@query("SELECT '' AS s, '' AS p, '' AS o WHERE false")
+def q_empty_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(tmap("t", "t.json", template("http://ex.org/r/{i}"), ref("n", "n"), iterator="$.none[*]"), spark, sf_dir, sources={"t.json": '{"a": [{"i": 0}]}'})
+
+
+@query(_union(spo(_EVENT, "type", lit("event_type"), "events", "event_type = 'click'"), spo(_EVENT, "late", lit("event_type"), "events", "json_extract(props, '$.k')::INT > 50")))
+def q_json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSONPath filters and descent over {"rows": [{id, type, props}]}, one document an event."""
+    doc = _table(spark, sf_dir, "events").select(F.to_json(F.struct(F.array(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.from_json("props", "k int").alias("props"))).alias("rows"))).alias("doc"))
+    m = tmap("e", "e.json", template("http://ex.org/event/{id}"), ref("type", "type"), iterator="$.rows[?(@.type == 'click')]") + tmap("f", "e.json", template("http://ex.org/event/{id}"), ref("late", "type"), iterator="$..rows[?(@.props.k > 50)]")
+    return _run(m, spark, sf_dir, sources={"e.json": doc})
+
+
+@query(f"SELECT DISTINCT {_NAT} || ' <{EX}name> ' || {lit('n_name')} || ' <{EX}g1> .' AS line FROM nation")
+def q_nquads_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(_run(tmap("n", "nation", template("http://ex.org/nation/{n_nationkey}") + " ; rml:graph ex:g1", ref("name", "n_name")), spark, sf_dir, graph=True))
+
+
+@query(spo(ORDER_S, "to", iri(EX + "customer/", "c_custkey"), "orders JOIN customer ON o_custkey = c_custkey", g=iri(EX + "status/", "o_orderstatus")))
+def q_join_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pom = joined("c", ("o_custkey", "c_custkey")) + f" ; rml:graphMap [ {template('http://ex.org/status/{o_orderstatus}')} ]"
+    return _run(tmap("o", "orders", template("http://ex.org/order/{o_orderkey}"), pom) + _CUST.split(" ;\n  rml:predicateObjectMap")[0] + " .\n", spark, sf_dir, graph=True)
+
+
+_ESCAPED = "replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r')"
+
+
+@query(f"SELECT DISTINCT {iri(EX + 'doc/', 'doc_id')} || ' <{EX}text> ' || '\"' || {_ESCAPED} || '\"' || ' .' AS line FROM documents WHERE text IS NOT NULL AND text NOT IN ('', 'NULL')")
+def q_escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their line breaks, escaped as N-Triples asks."""
+    return lines(_run(tmap("d", "documents", template("http://ex.org/doc/{doc_id}"), ref("text", "text")), spark, sf_dir, graph=True))
+
+
+simple("q_mapping_base", "@base <http://other.org/x/> .\n" + tmap("p", "part", template("part/{p_partkey}"), ref("type", "p_type")), spo(iri("http://other.org/x/part/", "p_partkey"), "type", lit("p_type"), "part"))
+
+
+@query(_union(*[f"SELECT '<{EX}r/{i}>' AS s, '<{EX}{p}>' AS p, '\"{v}\"' AS o" for i, p, v in ((1, "a", "pqr"), (1, "b", "x"), (2, "a", "tab"), (3, "a", "short"))]))
+def q_csv_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes and control characters leave CSV cells, and a short row counts as far as it goes."""
+    text = 'i,a,b\n1,"p""q""r",x\n2,t\tab,\n3,short\n'
+    return _run(tmap("t", "t.csv", template("http://ex.org/r/{i}"), ref("a", "a"), ref("b", "b")), spark, sf_dir, sources={"t.csv": text}, csv_compat=True)
+
+
+@query(f"SELECT DISTINCT {_NAT} AS s, '<{EX}key>' AS p, '\"' || upper(n_name) || '-' || n_regionkey || '\"' AS o FROM nation")
+def q_function_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_function(EX + "key_of", lambda v: F.concat_ws("-", F.upper(v[EX + "name"]), v[EX + "region"]))
+    inputs = ", ".join(f'[ rml:parameter ex:{p} ; rml:inputValueMap [ rml:reference "{c}" ] ]' for p, c in (("name", "n_name"), ("region", "n_regionkey")))
+    return _run(tmap("n", "nation", template("http://ex.org/nation/{n_nationkey}"), f"rml:predicate ex:key ; rml:objectMap [ rml:functionExecution [ rml:function ex:key_of ; rml:input {inputs} ] ]"), spark, sf_dir)
+
+
+_NATION = tmap("n", "nation", template("http://ex.org/nation/{n_nationkey}"), ref("name", "n_name"))
+_NATION_LINES = f"SELECT DISTINCT {_NAT} || ' <{EX}name> ' || {lit('n_name')} || ' .' AS line FROM nation"
+
+
+@query(_NATION_LINES)
+def q_write_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of N-Triples that replaces what was there, in a directory yet to be made."""
+    path = f"{_folder(spark, 'lines')}/a/b"
+    write_lines(_run(tmap("r", "region", template("http://ex.org/region/{r_regionkey}"), ref("name", "r_name")), spark, sf_dir, graph=True), path)
+    write_lines(_run(_NATION, spark, sf_dir, graph=True), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(_NATION_LINES)
+def q_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = to_string(_run(_NATION, spark, sf_dir, graph=True))  # 25 lines: a result that fits the driver
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+@query(_NATION_LINES)
+def q_print_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = io.StringIO()
+    print_lines(_run(_NATION, spark, sf_dir, graph=True), out)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+@query(_NATION_LINES)
+def q_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line with its tuning flags, on a mapping whose source has a full path."""
+    from .cli import main
+
+    path = _folder(spark, "cli")
+    main(["-m", PREFIX + _NATION.replace("nation.parquet", f"{sf_dir}/nation.parquet"), "-o", path, "--no-threading", "--no-const-folding", "--no-ordering", "--single-file", "--continue-on-error"])
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+_BAD = {
+    "constant and term type": tmap("t", "nation", "rml:constant ex:a ; rml:termType rml:IRI", ref("x", "n_name")),
+    "graph literal": tmap("t", "nation", template("http://e/{n_name}") + ' ; rml:graphMap [ rml:template "{n_name}" ; rml:termType rml:Literal ]', ref("x", "n_name")),
+    "invalid IRI": tmap("t", "orders", 'rml:reference "o_orderpriority"', ref("x", "o_orderkey")),
+    "join without condition": tmap("t", "nation", template("http://e/{n_name}"), joined("u")) + tmap("u", "region", template("http://e/{r_name}")),
+    "literal subject": tmap("t", "nation", 'rml:reference "n_name" ; rml:termType rml:Literal', ref("x", "n_name")),
+    "no column": tmap("t", "nation", template("http://e/{nope}"), ref("x", "n_name")),
+    "no subject map": '<http://ex.org/map/t> a rml:TriplesMap ; rml:logicalSource [ rml:source [ rml:path "nation.parquet" ] ] .',
+    "term type": tmap("t", "nation", template("http://e/{n_name}"), ref("x", "n_name", " ; rml:termType rml:Nothing")),
+    "two subject maps": tmap("t", "nation", template("http://e/{n_name}"), ref("x", "n_name")).replace("rml:subjectMap [", 'rml:subjectMap [ rml:reference "n_name" ], ['),
+    "unknown function": tmap("t", "nation", template("http://e/{n_name}"), "rml:predicate ex:p ; rml:objectMap [ rml:functionExecution [ rml:function ex:nothing ] ]"),
+}
+
+
+@query(_union(*[f"SELECT '{k}' AS mapping, true AS refused" for k in _BAD]))
+def q_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings and values that can't be right are refused, not worked around."""
+    refused = {}
+    for k, m in _BAD.items():
+        try:
+            _run(m, spark, sf_dir).collect()
+            refused[k] = False
+        except MappingError:
+            refused[k] = True
+        except Exception as e:  # raised by Spark while it runs
+            refused[k] = "invalid IRI" in str(e)
+    return spark.createDataFrame(list(refused.items()), "mapping string, refused boolean")
+
+
+@query(_union(spo(_EVENT, "type", lit("event_type"), "events"), spo(_EVENT, "user", iri(EX + "customer/", "user_id"), "events JOIN customer ON user_id = c_custkey")))
+def q_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of files, joined with the static customers, written with a checkpoint and read again."""
+    from .streaming import materialize_stream
+
+    folder = _folder(spark, "stream")
+    events, customers = _table(spark, sf_dir, "events"), _table(spark, sf_dir, "customer")
+    events.repartition(4).write.parquet(f"{folder}/in")
+    m = tmap("e", "events.s", template("http://ex.org/event/{event_id}"), ref("type", "event_type"), joined("c", ("user_id", "c_custkey"), predicate="user")) + tmap("c", "customer.s", template("http://ex.org/customer/{c_custkey}"))
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    quads = materialize_stream(spark, PREFIX + m, {"events.s": source, "customer.s": customers})
+    quads.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("s", "p", "o")
+
+
+@query(_union(*[spo(_NAT, p, lit(c), "nation") for p, c in (("name", "n_name"), ("region", "n_regionkey"))]))
+def q_table_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source named in the catalogue, and the mapping from a plan that is shown before it runs."""
+    _table(spark, sf_dir, "nation").createOrReplaceTempView("graphloom_nation")
+    m = PREFIX + tmap("n", "nation", template("http://ex.org/nation/{n_nationkey}"), ref("name", "n_name"), ref("region", "n_regionkey")).replace("nation.parquet", "graphloom_nation")
+    return execute_plan(spark, make_plan(m)).select("s", "p", "o")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in QUERIES.items()}
 

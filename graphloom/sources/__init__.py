@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -25,12 +26,33 @@ class Relation:
     path: str
     json: bool = False
     quotes: bool = False
+    #: Are its texts read from CSV, where control characters are dropped?
+    csv: bool = False
+
+    @property
+    def parsed(self) -> bool:
+        """Is a scan of it a parse of text, so that rules had better share it?"""
+        return self.json or self.csv
+
+    def select(self, names: Mapping[str, str]) -> DataFrame:
+        """Referenced columns as text under the given names."""
+        if not self.json:
+            return self.df.select(*[self.reference(n).alias(f) for n, f in names.items()])
+        # fields of the row are parsed at once; paths with indices one by one
+        paths = {n: parse_path(n) for n in names}
+        flat = {n: p[0] for n, p in paths.items() if len(p) == 1 and isinstance(p[0], str) and n != "value"}
+        if len(flat) < 2:
+            return self.df.select(*[self.reference(n).alias(f) for n, f in names.items()])
+        fields = T.StructType([T.StructField(x, T.StringType()) for x in dict.fromkeys(flat.values())])
+        one = F.array(F.from_json(F.when(F.ltrim(F.col(JSON_ROW)).startswith("{"), F.col(JSON_ROW)), fields))  # an element of an array: Catalyst doesn't parse again for each field
+        rows = self.df.select(JSON_ROW, F.explode(one).alias("__row"))
+        return rows.select(*[(strip_control(F.col("__row").getField(flat[n])) if n in flat else self.reference(n)).alias(f) for n, f in names.items()])
 
     def reference(self, name: str) -> Column:
         if self.json:
             row = F.col(JSON_ROW)
             if name == "value":  # rows that aren't objects have this one column
-                return F.when(F.ltrim(row).startswith("{"), get_text(row, ["value"])).otherwise(row)
+                return strip_control(F.when(F.ltrim(row).startswith("{"), get_text(row, ["value"])).otherwise(row))
             return strip_control(get_text(row, parse_path(name)))
         if name in self.df.columns:
             return self._text(F.col(f"`{name.replace('`', '``')}`"), self.df.schema[name].dataType)
@@ -49,7 +71,7 @@ class Relation:
 
     def _text(self, col: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
-            return strip_control(col, self.quotes)
+            return strip_control(col, self.quotes) if self.csv else col
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
             return F.to_json(col)
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -82,16 +104,18 @@ class SourceCatalog:
         if isinstance(given, DataFrame):
             return Relation(given, source.path)
         read = self.spark.read
-        if given is None and not path.lower().endswith((".csv", ".csv.gz", ".tsv", ".txt")):
+        if given is None and not path.lower().endswith((".csv", ".csv.gz", ".tsv", ".tsv.gz", ".txt")):
             for end in ("parquet", "orc", "avro"):
                 if path.lower().rstrip("/").endswith(f".{end}"):
                     return Relation(read.format(end).load(path), source.path)
             if self.spark.catalog.tableExists(source.path):
                 return Relation(self.spark.table(source.path), source.path)
         options = {"header": True, "quote": '"', "escape": '"', "multiLine": False, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-        df = read.options(**options).csv(self.spark.sparkContext.parallelize(given.splitlines()) if given is not None else path)
+        if path.lower().endswith((".tsv", ".tsv.gz")):
+            options["sep"] = "\t"
+        df = read.options(**options).csv(self.spark.sparkContext.parallelize(re.split("\r?\n", given)) if given is not None else path)
         names = ["".join(c for c in n if c >= " " and c not in '\x7f"') for n in df.columns]
-        return Relation(df.toDF(*names), source.path, quotes=self.csv_compat)
+        return Relation(df.toDF(*names), source.path, quotes=self.csv_compat, csv=True)
 
     def _json(self, source: LogicalSource) -> Relation:
         given, path = self.given.get(source.path), self._where(source.path)

@@ -6,6 +6,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom import MappingError, UnsupportedMapping, execute, materialize
 from graphloom import queries as catalogue
@@ -18,7 +19,7 @@ from graphloom.plans.planner import Plan
 from graphloom.queries import PREFIX, ref, template, tmap
 from graphloom.rdf.turtle import RDF, BNode, IRI, Literal, TurtleError, read_turtle
 from graphloom.sinks import lines, print_lines, to_string, write_lines
-from graphloom.sources.jsonpath import parse_path
+from graphloom.sources.jsonpath import explode_matches, parse_path
 
 PEOPLE = "id,name,n\n1,\"a\"\"b\",x\n2,\"c, d\",\n3,NULL,y\n4,  sp ,z\n5\n6,t\tab,q\n"
 
@@ -93,11 +94,64 @@ def test_json(spark, tmp_path):
 
 def test_json_paths():
     assert parse_path("$.a['b c'][2][*].*") == ["a", "b c", 2, None, None] and parse_path("a.b") == ["a", "b"] and parse_path("$") == []
-    for bad in ("$..a", "$[1:2]", "$[?(@.x)]", "$['a','b']"):
+    for bad in ("$[", "$.a[::-1]", "$[(@.length-1)]", "$.a[?(@.b ~ 1)]"):
         with pytest.raises(UnsupportedMapping):
             parse_path(bad)
 
 
+STORE = '{"b":[{"id":1,"p":5.5,"t":"x","in":{"id":9}},{"id":2,"p":12,"k":true},{"id":3,"t":"y z","it\'s":"q"},"loose",4],"o":{"id":7,"l":[[1,2],[3]]}}'
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [
+        ("$.b[0:2].id", ["1", "2"]), ("$.b[1:].id", ["2", "3"]), ("$.b[-2:]", ["4", "loose"]), ("$.b[::2].id", ["1", "3"]), ("$.b[:-3].id", ["1", "2"]), ("$.b[0,2].id", ["1", "3"]), ("$.b[-1]", ["4"]), ("$.b[1]['id','p']", ["12", "2"]),
+        ("$.b[?(@.t)].id", ["1", "3"]), ("$.b[?(@.p > 6)].id", ["2"]), ("$.b[?(@.p<=5.5)].id", ["1"]), ("$.b[?(@.t == 'y z')].id", ["3"]), ("$.b[?(@.k==true)].id", ["2"]), ("$.b[?(@.in.id==9)].t", ["x"]),
+        ("$..id", ["1", "2", "3", "7", "9"]), ("$.b[2]['it\\'s']", ["q"]), ("$.o.l[*][*]", ["1", "2", "3"]), ("$..l[*]", ["[1,2]", "[3]"]), ("$.none[*]", []), ("$.b[7]", []), ("$.o.*", ["7", "[[1,2],[3]]"]),
+    ],
+)
+def test_json_matches(spark, path, want):
+    df = spark.createDataFrame([(STORE,), ("not json",), (None,)], "doc string")
+    assert sorted(r["x"] for r in explode_matches(df, "doc", path, "x").collect()) == want
+
+
+def test_csv_cells_with_odd_breaks(spark, tmp_path):
+    """A text and a file of the same lines give the same cells; tabs part the cells of .tsv; other sources keep control characters."""
+    text = "id,name\n1,x\u2028y\r\n2,a\x85b\x0bc\n"
+    (tmp_path / "t.csv").write_bytes(text.encode())
+    m = PREFIX + tmap("t", "t.csv", template("http://e/{id}"), ref("name", "name"))
+    got = triples(materialize(spark, m, sources={"t.csv": text}))
+    assert got == triples(materialize(spark, m, base_dir=str(tmp_path))) and {o for _, _, o in got} == {'"x\u2028y"', '"a\x85bc"'}
+    (tmp_path / "t.tsv").write_text("id\tname\n1\ta,b\n")
+    assert {o for _, _, o in triples(materialize(spark, m.replace("t.csv", "t.tsv"), base_dir=str(tmp_path)))} == {'"a,b"'}
+    frame = spark.createDataFrame([(1, "foo\nbar")], "id int, name string")
+    assert {o for _, _, o in triples(materialize(spark, m.replace("t.csv", "t.x"), sources={"t.x": frame}))} == {'"foo\nbar"'}
+
+
+def test_shared_scan(spark, sf):
+    """Rules of a parsed source share one scan and one exchange, and give the same as each by itself."""
+    text = "\n".join(json.dumps({"rows": [{"id": i % 7, "a": f"v{i % 3}", "b": i, "c": "NULL" if i % 2 else None, "d": {"e": [i % 2, 2]}} for i in range(k, k + 20)]}) for k in range(0, 100, 20))
+    docs = spark.createDataFrame([(x,) for x in text.split("\n")], "doc string")
+    m = PREFIX + tmap("t", "t.json", template("http://e/{id}"), ref("a", "a"), ref("b", "b"), ref("c", "c"), ref("d", "d"), ref("e", "d.e[0]"), f'rml:predicateMap [ {template("http://p/{a}")} ] ; rml:objectMap [ rml:reference "b" ] ; rml:graph ex:g', iterator="$.rows[*]")
+    made = materialize(spark, m, sources={"t.json": docs})
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("Aggregate") == 1
+    apart = materialize(spark, m, sources={"t.json": docs}, dedup=False).distinct()
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str) and made.count() > 100
+
+
+def test_function_inputs(spark):
+    register_function("http://ex.org/joined", lambda v: F.concat_ws("-", v["http://ex.org/a"], F.upper(v["http://ex.org/b"])))
+    call = 'rml:predicate ex:p ; rml:objectMap [ rml:functionExecution [ rml:function ex:joined ; rml:input [ rml:parameter ex:a ; rml:inputValueMap [ rml:reference "id" ] ], [ rml:parameter ex:b ; rml:inputValue "z" ] ] ]'
+    m = PREFIX + tmap("t", "t.x", template("http://e/{id}"), call)
+    src = {"t.x": spark.createDataFrame([("1",), ("2",), ("",)], "id string")}
+    want = {("<http://e/1>", "<http://ex.org/p>", '"1-Z"'), ("<http://e/2>", "<http://ex.org/p>", '"2-Z"')}
+    assert set(triples(materialize(spark, m, sources=src))) == want == set(triples(execute_plan(spark, make_plan(m).to_json(), sources=src)))
+    for bad in ("rml:input [ rml:parameter ex:a ]", "rml:input [ rml:inputValue 1 ]"):
+        with pytest.raises(MappingError):
+            make_plan(PREFIX + tmap("t", "t.x", template("http://e/{id}"), f"rml:predicate ex:p ; rml:objectMap [ rml:functionExecution [ rml:function ex:joined ; {bad} ] ]"))
+
+
 INVALID = {
     "two subjects": "<http://x/t> a rml:TriplesMap ; rml:logicalSource [ rml:source [ rml:path \"t\" ] ] ; rml:subjectMap [ rml:reference \"a\" ], [ rml:reference \"b\" ] .",
     "no map": "<http://x/t> rml:subject <http://x/s> .",
