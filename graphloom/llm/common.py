@@ -68,6 +68,19 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """scratch_table, its rows dealt into files by a hash of the column: grouping by it shuffles nothing more."""
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/graphloom-{name}-{unique}", f"graphloom_{name}_{unique}"
+    _TABLES.append(path)
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved before its name goes
+    spark.sql(f"DROP TABLE {table}")  # the files stay
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

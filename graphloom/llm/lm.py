@@ -15,7 +15,7 @@ or bigram that makes up a third of the corpus costs one entry a chunk. Bigrams
 of a bucket share their contexts, except the contexts that hold 1/HOT of all
 tokens or more (at most HOT of them): those are spread over all buckets and
 their sums are added up. Counts stay in tables of one row a bucket. Texts never
-move; tokens move once, compressed.
+move, nor do tokens: chunks are written once, bucketed by their number.
 
 Two words share a hash with probability 2**-64. A bucket's answer numbers its
 words, and bigrams are asked for by these numbers: they are exact and take a few
@@ -32,11 +32,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, map_arrow, mix64, numbered, release_shuffles, scratch_table, text_blocks
+from .common import LOWER, RollingHash, bucketed_table, map_arrow, mix64, numbered, release_shuffles, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -355,11 +355,13 @@ def _score(left: pa.Table, right: pa.Table, buckets: int, uni: Unigrams, d: list
 def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learnt from the rows where train holds."""
     spark = docs.sparkSession
+    made = make_chunks(docs, train, id_col, text_col)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = make_chunks(docs, train, id_col, text_col).repartition(width, "chunk").persist(StorageLevel.DISK_ONLY)  # lost blocks are made again
+    chunks = bucketed_table(made, "chunks", "chunk", max(width, 2 * made.rdd.getNumPartitions()))
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(16, math.ceil(tokens / BUCKET_TOKENS))
-    words = scratch_table(_word_requests(chunks, buckets).groupBy("bucket").applyInArrow(_count_words, _ANSWER), "words")
+    deal = max(width, math.ceil(buckets / 4))  # partitions of the buckets: four a task at most
+    words = scratch_table(_word_requests(chunks, buckets).repartition(deal, "bucket").groupBy("bucket").applyInArrow(_count_words, _ANSWER), "words")
     release_shuffles(spark)
     stats = [r["n"] for r in words.where("what = 'table'").select("n").collect()]  # one row a bucket
     total, kinds, *n = [sum(x) for x in zip(*stats, strict=True)] if stats else [0] * (LARGEST + 4)
@@ -370,7 +372,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda a, b: _bigram_requests(a, b, buckets, hot), "bucket long, chunk long, v binary, many binary, w binary, count binary, known binary, hot_v binary, hot_w binary, hot_count binary, hot_known binary"
     )
-    counted = scratch_table(asked.groupBy("bucket").applyInArrow(lambda t: _count_bigrams(t, uni), _ANSWER), "bigrams")
+    counted = scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(lambda t: _count_bigrams(t, uni), _ANSWER), "bigrams")
     del asked
     release_shuffles(spark)
     few = counted.where("what IN ('stats', 'hot_sum')").select("what", "chunk", "b", "n").collect()  # buckets, and hot contexts x buckets
