@@ -95,16 +95,22 @@ def drop_scratch(df: DataFrame) -> None:
             _TABLES[:] = [x for x in _TABLES if not x.endswith(name)]
 
 
-def scratch_mark() -> int:
-    return len(_TABLES)
-
-
-def drop_scratch_since(spark: SparkSession, mark: int, *, keep: int = 1) -> None:
-    """Delete the scratch tables made since the mark, but the last ``keep``: what they were made for is written."""
-    gone = _TABLES[mark : len(_TABLES) - keep]
+def drop_tables(spark: SparkSession, paths: list[str], *, unread: DataFrame) -> list[str]:
+    """Delete those of the scratch tables that are still there and that the DataFrame doesn't read; the others."""
+    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for f in unread.inputFiles() if "/graphloom-" in f}
+    gone = [x for x in paths if x in _TABLES and x.rsplit("/", 1)[1] not in used]
     for path in gone:
         _delete(spark, path)
     _TABLES[:] = [x for x in _TABLES if x not in gone]
+    return [x for x in paths if x in _TABLES]
+
+
+def tables_since(mark: int) -> list[str]:
+    return _TABLES[mark:]
+
+
+def scratch_mark() -> int:
+    return len(_TABLES)
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -613,6 +613,59 @@ def test_kernel_brute():
             assert abs(k[i, j] - want) < 0.02
 
 
+def test_language_brute(spark):
+    """The query's scores against kernel ridge regression solved on whole Gram matrices, text by text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    bits = {k: np.concatenate([langid.presence(t, 0, 1) for t in text_blocks(pa.array([x]))]) for k, x, _ in rows if x and any(c.isalpha() for c in x)}
+    taught = sorted(((c, np.packbits(bits[k], axis=1).tobytes(), k) for k, _, c in rows if c is not None and zlib.crc32(str(k).encode()) % 4 != 2 and k in bits), key=lambda x: x[:2])
+    langs, x = sorted({c for c, _, _ in taught}), np.concatenate([bits[k] for _, _, k in taught])
+    gram = lambda a, b: sum((a[:, s].astype(float) @ b[:, s].T.astype(float)) / np.sqrt(np.maximum(a[:, s].sum(1, dtype=float), 1)[:, None] * np.maximum(b[:, s].sum(1, dtype=float), 1)) for s in (slice(langid.OFFSET[n], langid.OFFSET[n] + d) for n, d in langid.DIMS.items())) / len(langid.DIMS)
+    k = gram(x, x)  # fewer rows than landmarks: every row is one, and the Nystrom features span the whole space
+    assert len(x) <= langid.LANDMARKS
+    out = {c: [] for c in langs}
+    asked = sorted(bits)
+    test = gram(np.concatenate([bits[i] for i in asked]), x)
+    for c in langs:
+        y = np.array([1.0 if v == c else -1.0 for v, _, _ in taught])
+        w = np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+        w /= w.sum()
+        # weighted kernel ridge with a free bias: (K W + ridge) on centred rows
+        centre = np.eye(len(x)) - np.outer(np.ones(len(x)), w)
+        kc = centre @ k @ centre.T
+        a = np.linalg.solve(kc * w + langid.RIDGE * np.eye(len(x)), y - w @ y)
+        out[c] = (test - (w @ k)[None] - (test @ w)[:, None] + w @ k @ w) @ (w * a) + w @ y
+    margin = np.stack([out[c] for c in langs], axis=1)
+    e = np.exp(4 * (margin - margin.max(1, keepdims=True)))
+    want = {i: (langs[j], 1 / t) for i, j, t in zip(asked, margin.argmax(1), e.sum(1), strict=True)}
+    for r in Q.queries()["op3_language"](spark, "/root/testdata/sf0.001").collect():
+        lang, score = want.get(r["doc_id"], ("und", 0.0))
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3, (r, lang, score)
+
+
+def test_quality_brute(spark):
+    """The query's scores against its trees walked node by node, on statistics taken text by text."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels.where(~langid.held_out("doc_id", 5, 0)))
+    taught = {r["doc_id"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    one = lambda text: np.concatenate([quality.statistics(t) for t in text_blocks(pa.array([text], pa.string()))])[0]
+    x = {r["doc_id"]: one(r["text"]) for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = sorted((x[k].tobytes(), float(y[k])) for k in taught if k in x)
+    again = quality.BoostedTrees(np.stack([np.frombuffer(a, dtype=np.float32) for a, _ in rows]), np.array([b for _, b in rows]))
+    assert np.array_equal(again.value, model.value) and np.array_equal(again.feature, model.feature)
+    for r in Q.queries()["op4_quality"](spark, sf).collect():
+        raw = again.start
+        for t in range(len(again.feature)):
+            node = 0
+            for _ in range(again.depth):
+                node = 2 * node + 1 + int(x[r["doc_id"]][again.feature[t, node]] > again.threshold[t, node])
+            raw += again.value[t, node]
+        score = 1 / (1 + math.exp(-raw))
+        assert math.isclose(r["score"], score, rel_tol=1e-9) and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_quality(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
