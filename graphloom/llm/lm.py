@@ -1,33 +1,41 @@
-"""Bigram language model with Katz backoff.
+"""N-gram language model (trigrams by default) with Katz backoff.
 
-P(w | v) = d(c(v,w)) c(v,w) / D(v) where v w was seen, else alpha(v) P(w), with
-Good-Turing discounts d up to counts of 5 and alpha(v) = (1 - seen mass) /
-(1 - sum of P(w) over seen w), so each context sums to 1. P(w) is discounted
-alike, its left-over mass standing for one unknown word. A context without a
-discounted count gets D(v) = c(v) + 1, so alpha stays above 0. A text starts in
-a context of its own and ends with one end token.
+P(w | h) = d(c(h,w)) c(h,w) / D(h) where h w was seen, else alpha(h) P(w | h'),
+h' being h without its first word, with Good-Turing discounts d of each order up
+to counts of 5 and alpha(h) = (1 - seen mass) / (1 - sum of P(w | h') over seen
+w), so each context sums to 1. P(w) is discounted alike, its left-over mass
+standing for one unknown word. A context without a discounted count gets
+D(h) = c(h) + 1, so alpha stays above 0; a context never seen backs off at no
+cost. A text starts in a context of its own, its k-th token has at most k words
+before it (the start among them), and it ends with one end token.
 
 How it runs: texts become chunks of bounded size, each with a sorted list of
 its words' 64-bit hashes and its tokens as positions in that list. A chunk asks
-for what it needs once for each different word or bigram; requests go to hash
+for what it needs once for each different word or n-gram; requests go to hash
 buckets, which add up the training counts of all chunks and answer. So a word
-or bigram that makes up a third of the corpus costs one entry a chunk. Bigrams
+or n-gram that makes up a third of the corpus costs one entry a chunk. N-grams
 of a bucket share their contexts, except the contexts that hold 1/HOT of all
-tokens or more (at most HOT of them): those are spread over all buckets and
-their sums are added up. Counts stay in tables of one row a bucket. Texts never
-move, nor do tokens: chunks are written once, bucketed by their number.
+tokens or more (at most HOT of each order): those are spread over all buckets
+and their sums are added up. Orders go up one by one: the answers for one order
+number its n-grams, and the next order's requests name their contexts by these
+numbers. Counts stay in tables of one row a bucket. Texts never move, nor do
+tokens: chunks are written once, bucketed by their number.
 
 Two words share a hash with probability 2**-64. A bucket's answer numbers its
-words, and bigrams are asked for by these numbers: they are exact and take a few
-bytes where hashes take eight.
+words, and n-grams are asked for by these numbers: they are exact and take a few
+bytes where hashes take eight. Only the hot contexts above bigrams go by a hash.
 
 Defined results: null text counts as empty (one end token); repeated rows count
-and are scored one by one; without training rows every word is unknown and P is 1.
+and are scored one by one; very long texts are counted whole; without training
+rows every word is unknown and P is 1; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +47,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, RollingHash, bucketed_table, map_arrow, mix64, numbered, release_shuffles, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
+#: Sums of P below 1 are added up over buckets as whole multiples of 1/SCALE, in any order alike.
+SCALE = 2**60
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -167,28 +178,106 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.at, weights=self.weight, minlength=len(self.words)).astype(np.int64)
 
-    def bigrams(self, hot: np.ndarray, buckets: int):
-        """Different bigrams (hash of context, positions of context and word, key), training counts, each token's bigram; those of other and of hot contexts, the latter by bucket and context."""
-        before = np.empty(len(self.at), dtype=np.int64)
-        before[1:] = self.at[:-1]
-        before[self.first] = len(self.words)
-        code = before * (len(self.words) + 1) + self.at
+    def grams(self, code: np.ndarray, tokens: np.ndarray):
+        """Different codes: number of each of the tokens, a token of each, training counts."""
         order = np.argsort(code, kind="stable")
         s = code[order]
         new = np.ones(len(s), dtype=bool)
         new[1:] = s[1:] != s[:-1]
         start = np.flatnonzero(new)
-        which = np.empty(len(s), dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
-        count = np.add.reduceat(self.weight[order].astype(np.int64), start)
-        v, w = np.divmod(s[start], len(self.words) + 1)
+        which = np.full(len(self.at), -1, dtype=np.int64)
+        which[tokens[order]] = np.cumsum(new) - 1
+        count = np.add.reduceat(self.weight[tokens[order]].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        return which, tokens[order[start]], count
+
+    def bigrams(self, hot: np.ndarray, buckets: int, number: np.ndarray, known: np.ndarray) -> Grams:
+        """Bigrams, from the words' numbers and training counts."""
+        before = np.empty(len(self.at), dtype=np.int64)
+        before[1:] = self.at[:-1]
+        before[self.first] = len(self.words)
+        which, token, count = self.grams(before * (len(self.words) + 1) + self.at, np.arange(len(self.at)))
+        v, w = before[token], self.at[token]
         hashes = np.append(self.words, START)
-        hv = hashes[v]
-        is_hot = np.isin(hv, hot)
-        key = mix64(hv * np.uint64(0x9E3779B97F4A7C15) + hashes[w])
-        plain, warm = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
-        warm = warm[np.lexsort((key[warm], hv[warm], bucket_of(key[warm], buckets)))]
-        return hv, v, w, key, count, which, plain, warm
+        key = mix64(hashes[v] * SPREAD + hashes[w])
+        warm = np.isin(hashes[v], hot)
+        context = np.where(warm, hashes[v].view(np.int64), np.append(number, 0)[v])
+        bucket = bucket_of(np.where(warm, key, hashes[v]), buckets)
+        return Grams(which, w, w, key, count, context, bucket, warm, known[w], np.zeros(len(w), np.int64))
+
+    def longer(self, low: Grams, order: int, least: int, buckets: int) -> Grams:
+        """N-grams of an order, from those one shorter: the token before ends the context, the token itself the n-gram to back off to. Contexts seen least times or more are spread."""
+        place = np.arange(len(self.at)) - np.repeat(self.first, self.sizes)
+        here = np.flatnonzero(place >= order - 2)
+        rank = np.empty(len(low.w), dtype=np.int64)
+        rank[np.lexsort((low.number, low.bucket))] = np.arange(len(rank))
+        which, token, count = self.grams(rank[low.which[here - 1]] * len(self.words) + self.at[here], here)
+        h, shorter, w = low.which[token - 1], low.which[token], self.at[token]
+        key = mix64(low.key[h] * SPREAD + self.words[w])
+        warm = low.total[h] >= least
+        context = np.where(warm, low.key[h].view(np.int64), low.number[h])
+        bucket = np.where(warm, bucket_of(key, buckets), low.bucket[h])
+        below = low.bottom[shorter].astype(np.int64) * 2 + low.cut[shorter]
+        return Grams(which, w, shorter, key, count, context, bucket, warm, low.total[shorter], below)
+
+
+@dataclass
+class Grams:
+    """A chunk's different n-grams of one order, and what the buckets say about them."""
+
+    which: np.ndarray  # of each token
+    w: np.ndarray  # last word, as a position in the chunk's words
+    shorter: np.ndarray  # the n-gram, or word, to back off to
+    key: np.ndarray  # hash
+    count: np.ndarray  # in the chunk's training texts
+    context: np.ndarray  # a number in its bucket; where spread, a hash
+    bucket: np.ndarray
+    warm: np.ndarray  # is the context spread?
+    known: np.ndarray  # training count of shorter
+    below: np.ndarray  # twice D of shorter's context, plus one if its counts are discounted
+    total: np.ndarray | None = None  # training count
+    number: np.ndarray | None = None  # in its bucket
+    bottom: np.ndarray | None = None  # D of its context
+    cut: np.ndarray | None = None  # are its context's counts discounted?
+    p: np.ndarray | None = None
+
+    def parts(self) -> list[tuple[bool, np.ndarray]]:
+        """The n-grams by kind of context, in the order of their requests: bucket, context, word."""
+        return [(k, x[np.lexsort((self.w[x], self.context[x], self.bucket[x]))]) for k, x in ((False, np.flatnonzero(~self.warm)), (True, np.flatnonzero(self.warm)))]
+
+    def read(self, answers: pa.Table, order: int, lower: np.ndarray, d: list[float], hot: np.ndarray, hot_facts: tuple) -> None:
+        """Fill in the answers; lower: P of what to back off to."""
+        size = len(self.w)
+        self.total, self.number = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.bottom, alpha, self.cut = np.ones(size), np.ones(size), np.zeros(size, bool)
+        for warm, part in self.parts():
+            what = f"{'hot' if warm else 'gram'}{order}"
+            if not len(part):
+                continue
+            self.total[part] = _aligned(answers, what)
+            number = _aligned(answers, what, "number", rising=True)
+            if len(number):
+                self.number[part] = number
+            if warm:
+                at, facts = np.searchsorted(hot, self.context[part]), hot_facts
+            else:
+                at = np.cumsum(_changes(self.bucket[part], self.context[part])) - 1
+                rows = sorted((r["bucket"], r["b"]) for r in answers.select(["what", "bucket", "b"]).to_pylist() if r["what"] == what)
+                n = np.concatenate([unpack(b, np.int64).reshape(LARGEST + 1, -1) for _, b in rows], axis=1)
+                back = np.zeros(n.shape[1])
+                back[np.bincount(at, weights=self.total[part] == 0) > 0] = _aligned(answers, what, "back").view(np.float64)
+                facts = alpha_of(n[:LARGEST].T, n[LARGEST], back, d)
+            for x, y in zip((self.bottom, alpha, self.cut), facts, strict=True):
+                x[part] = y[at]
+        self.p = np.where(self.total > 0, np.where(self.cut, discounted(self.total, d), self.total) / self.bottom, alpha * lower)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -215,12 +304,12 @@ def _histogram(c: np.ndarray) -> list[int]:
     return np.bincount(c[c <= LARGEST + 1], minlength=LARGEST + 2).tolist()
 
 
-_ANSWER = "what string, bucket long, chunk long, a binary, b binary, n array<long>"
+_ANSWER = "what string, bucket long, chunk long, a binary, b binary, number binary, back binary, n array<long>"
 
 
 def _answer(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["what", "bucket", "chunk", "a", "b", "n"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()))
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["what", "bucket", "chunk", "a", "b", "number", "back", "n"])
 
 
 def _count_words(table: pa.Table) -> pa.Table:
@@ -234,30 +323,57 @@ def _count_words(table: pa.Table) -> pa.Table:
     out, at = [], 0
     for r, w in zip(rows, words, strict=True):
         own = where[at : at + len(w)]
-        out.append(("word", r["bucket"], r["chunk"], pack(total[own]), pack(own.astype(np.int64), rising=True), None))
+        out.append(("word", r["bucket"], r["chunk"], pack(total[own]), None, pack(own.astype(np.int64), rising=True), None, None))
         at += len(w)
     seen = total > 0
-    out.append(("table", rows[0]["bucket"], None, pack(key[seen], rising=True), pack(total[seen]), [int(total.sum()), int(seen.sum()), *_histogram(total)]))
+    out.append(("table", rows[0]["bucket"], None, pack(key[seen], rising=True), pack(total[seen]), None, None, [int(total.sum()), int(seen.sum()), *_histogram(total)]))
     return _answer(out)
 
 
-def _bigram_requests(left: pa.Table, right: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
+@dataclass
+class Model:
+    """What all chunks need of the words and of the orders done so far."""
+
+    buckets: int
+    uni: Unigrams
+    hot: np.ndarray  # hashes of the words that are spread as contexts
+    least: int  # training count from which a context is spread
+    orders: list[tuple]  # of order 2, 3, ...: discounts, spread contexts, their D, alpha and kind
+
+    def climb(self, c: Chunk, answers: pa.Table, order: int):
+        """The chunk's n-grams of orders 2, 3, ..., answered where the model has the order, and its words' counts and numbers."""
+        known = _aligned(answers, "word")
+        number = bucket_of(c.words, self.buckets) << 32 | _aligned(answers, "word", "number", rising=True)
+        g, lower, out = c.bigrams(self.hot, self.buckets, number, known), self.uni.p(known), []
+        for k in range(2, order + 1):
+            if k > 2:
+                g, lower = c.longer(g, k, self.least, self.buckets), g.p
+            if k - 2 < len(self.orders):
+                g.read(answers, k, lower[g.shorter], *self.orders[k - 2])
+            out.append(g)
+        return out, known, number
+
+
+_REQUEST = "bucket long, chunk long, hot boolean, v binary, many binary, below binary, w binary, count binary, known binary"
+
+
+def _requests(left: pa.Table, right: pa.Table, model: Model, order: int) -> pa.Table:
+    """A chunk's n-grams of the order, by bucket: contexts, the numbers of their words, training counts."""
     c = Chunk(left.to_pylist()[0])
-    known = _aligned(right, "word")
-    number = bucket_of(c.words, buckets) << 32 | _aligned(right, "word", "b", rising=True)
-    hv, v, w, key, count, _, plain, warm = c.bigrams(hot, buckets)
-    cw = np.where(count > 0, known[w], 0)  # others add nothing to a context's sums
-    parts: dict[int, list] = {}
-    for x, i, j in _runs(bucket_of(hv[plain], buckets)):
-        p = plain[i:j]
-        a, many = np.unique(number[v[p]], return_counts=True)
-        parts[x] = [pack(a, rising=True), pack(many), pack(number[w[p]]), pack(count[p]), pack(cw[p]), None, None, None, None]
-    for x, i, j in _runs(bucket_of(key[warm], buckets)):
-        p = warm[i:j]
-        parts.setdefault(x, [None] * 9)[5:] = [pack(np.searchsorted(hot, hv[p]).astype(np.uint16)), pack(number[w[p]]), pack(count[p]), pack(cw[p])]
-    names = ["v", "many", "w", "count", "known", "hot_v", "hot_w", "hot_count", "hot_known"]
-    cols = [pa.array(list(parts), pa.int64()), pa.array([c.id] * len(parts), pa.int64()), *(pa.array([p[k] for p in parts.values()], pa.binary()) for k in range(9))]
-    return pa.table(cols, names=["bucket", "chunk", *names])
+    (*_, g), _, number = model.climb(c, right, order)
+    rows = []
+    for warm, part in g.parts():
+        for x, i, j in _runs(g.bucket[part]):
+            p = part[i:j]
+            start = np.flatnonzero(_changes(g.context[p]))
+            seen = g.count[p] > 0  # others add nothing to a context's sums
+            rows.append((
+                x, c.id, warm, pack(g.context[p[start]], rising=True), pack(np.diff(start, append=len(p))), pack(np.where(seen, g.below[p], 0)),
+                pack(number[g.w[p]]), pack(g.count[p]), pack(np.where(seen, g.known[p], 0)),
+            ))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
+    names = [x.split()[0] for x in _REQUEST.split(", ")]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def _aligned(answers: pa.Table, what: str, part: str = "a", *, rising: bool = False) -> np.ndarray:
@@ -265,8 +381,8 @@ def _aligned(answers: pa.Table, what: str, part: str = "a", *, rising: bool = Fa
     return np.concatenate([unpack(b, np.int64, rising=rising) for _, b in rows]) if rows else np.zeros(0, np.int64)
 
 
-def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, known: np.ndarray):
-    """Entries of the same (v, w): context, count of the word, group of each entry, summed counts."""
+def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, p: np.ndarray):
+    """Entries of the same (v, w): context, largest p, group of each entry, summed counts."""
     order = np.lexsort((w, v))
     a, b = v[order], w[order]
     new = np.ones(len(a), dtype=bool)
@@ -275,8 +391,8 @@ def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, known: np.ndarray):
     which = np.empty(len(a), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
     if not len(start):
-        return a, np.zeros(0, np.int64), which, np.zeros(0, np.int64)
-    return a[start], np.maximum.reduceat(known[order], start), which, np.add.reduceat(count[order], start)
+        return a, p, which, np.zeros(0, np.int64)
+    return a[start], np.maximum.reduceat(p[order], start), which, np.add.reduceat(count[order], start)
 
 
 def _sums(v: np.ndarray, total: np.ndarray, p: np.ndarray):
@@ -288,72 +404,78 @@ def _sums(v: np.ndarray, total: np.ndarray, p: np.ndarray):
     return kinds, at, n.astype(np.int64), big.astype(np.int64), back
 
 
-def _count_bigrams(table: pa.Table, uni: Unigrams) -> pa.Table:
-    rows = table.to_pylist()
-    out: list[tuple] = []
-    seen_counts = np.zeros(LARGEST + 2, dtype=np.int64)
-    cold = [r for r in rows if r["v"] is not None]
-    if cold:
-        vs, many = [unpack(r["v"], np.int64, rising=True) for r in cold], [unpack(r["many"], np.int64) for r in cold]
+def _lower(model: Model, order: int, known: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """P of an n-gram's last word one order down, where that was seen."""
+    if order == 2:
+        return model.uni.p(known)
+    return np.where(below & 1, discounted(known, model.orders[order - 3][0]), known) / np.maximum(below >> 1, 1)
+
+
+def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
+    """Answers to each chunk, the sums of spread contexts, and the bucket's numbers of n-grams seen 1, 2, ... times."""
+    rows, out = table.to_pylist(), []
+    seen, done = np.zeros(LARGEST + 2, dtype=np.int64), 0
+    for hot in (False, True):
+        own = [r for r in rows if r["hot"] == hot]
+        if not own:
+            continue
+        vs, many = [unpack(r["v"], np.int64, rising=True) for r in own], [unpack(r["many"], np.int64) for r in own]
         v = np.concatenate([np.repeat(a, m) for a, m in zip(vs, many, strict=True)])
-        w = np.concatenate([unpack(r["w"], np.int64) for r in cold])
-        gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in cold]) for k in ("count", "known")))
-        kinds, _, n, big, back = _sums(gv, total, uni.p(known))
-        seen_counts += np.array(_histogram(total))
-        at = 0
-        for r, a, m in zip(cold, vs, many, strict=True):
-            k, i = int(m.sum()), np.searchsorted(kinds, a)
-            facts = np.concatenate([n[i].T.ravel(), big[i], back[i].view(np.int64)])
-            out.append(("bigram", r["bucket"], r["chunk"], pack(total[which[at : at + k]]), pack(facts), None))
-            at += k
-    warm = [r for r in rows if r["hot_v"] is not None]
-    if warm:
-        parts = [unpack(r["hot_v"], np.uint16) for r in warm]
-        v = np.concatenate(parts).astype(np.int64)
-        w = np.concatenate([unpack(r["hot_w"], np.int64) for r in warm])
-        gv, known, which, total = _group(v, w, *(np.concatenate([unpack(r[k], np.int64) for r in warm]) for k in ("hot_count", "hot_known")))
-        kinds, _, n, big, back = _sums(gv, total, uni.p(known))
-        seen_counts += np.array(_histogram(total))
+        below, w, count, known = (np.concatenate([unpack(r[k], np.int64) for r in own]) for k in ("below", "w", "count", "known"))
+        p = np.where(count > 0, _lower(model, order, known, below), 0.0)
+        del below, known
+        gv, gp, which, total = _group(v, w, count, p)
+        del v, w, count, p
+        kinds, _, n, big, back = _sums(gv, total, gp)
+        seen += np.array(_histogram(total))
         at = 0
-        for r, a in zip(warm, parts, strict=True):
-            out.append(("hot", r["bucket"], r["chunk"], pack(total[which[at : at + len(a)]]), None, None))
-            at += len(a)
-        for i, k in enumerate(kinds):
-            out.append(("hot_sum", rows[0]["bucket"], int(k), None, back[i : i + 1].tobytes(), [*n[i].tolist(), int(big[i])]))
-    out.append(("stats", rows[0]["bucket"], None, None, None, seen_counts.tolist()))
+        for r, a, m in zip(own, vs, many, strict=True):
+            mine = which[at : at + int(m.sum())]
+            t, number = total[mine], None if last else pack(mine + done, rising=True)
+            at += len(mine)
+            if hot:
+                out.append((f"hot{order}", r["bucket"], r["chunk"], pack(t), None, number, None, None))
+                continue
+            i = np.searchsorted(kinds, a)
+            unseen = np.add.reduceat((t == 0).astype(np.int64), np.cumsum(m) - m) > 0  # only these contexts back off
+            out.append((f"gram{order}", r["bucket"], r["chunk"], pack(t), pack(np.concatenate([n[i].T.ravel(), big[i]])), number, pack(back[i[unseen]].view(np.int64)), None))
+        if hot:
+            out += [(f"sum{order}", rows[0]["bucket"], int(k), None, None, None, None, [*n[i].tolist(), int(big[i]), round(back[i] * SCALE)]) for i, k in enumerate(kinds)]
+        done += len(total)
+    out.append((f"stats{order}", rows[0]["bucket"], None, None, None, None, None, seen.tolist()))
     return _answer(out)
 
 
-def _score(left: pa.Table, right: pa.Table, buckets: int, uni: Unigrams, d: list[float], hot: np.ndarray, hot_facts: tuple) -> pa.Table:
+def _score(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
-    known = _aligned(right, "word")
-    hv, _, w, _, _, which, plain, warm = c.bigrams(hot, buckets)
-    total = np.empty(len(hv), dtype=np.int64)
-    total[plain], total[warm] = _aligned(right, "bigram"), _aligned(right, "hot")
-    bottom, alpha, cut = np.empty(len(hv)), np.empty(len(hv)), np.empty(len(hv), dtype=bool)
-    facts = []
-    for _, b in sorted((r["bucket"], r["b"]) for r in right.select(["what", "bucket", "b"]).to_pylist() if r["what"] == "bigram"):
-        f = unpack(b, np.int64).reshape(LARGEST + 2, -1)
-        facts.append((f[:LARGEST].T, f[LARGEST], np.ascontiguousarray(f[LARGEST + 1]).view(np.float64)))
-    if facts:
-        made = alpha_of(*(np.concatenate(x) for x in zip(*facts, strict=True)), d)
-        _, at = np.unique(hv[plain], return_inverse=True)
-        for x, y in zip((bottom, alpha, cut), made, strict=True):
-            x[plain] = y[at]
-    at = np.searchsorted(hot, hv[warm])
-    for x, y in zip((bottom, alpha, cut), hot_facts, strict=True):
-        x[warm] = y[at]
-    p_word = uni.p(known)
-    seen = np.where(cut, discounted(total, d), total) / bottom
-    logp = np.log10(np.where(total > 0, seen, alpha * p_word[w]))
-    base = np.log10((known + 0.5) / (uni.total + 0.5 * (uni.kinds + 1)))
+    orders, known, _ = model.climb(c, right, len(model.orders) + 1)
+    p = np.empty(len(c.at))
+    for g in orders:
+        here = g.which >= 0
+        p[here] = g.p[g.which[here]]
+    base = np.log10((known + 0.5) / (model.uni.total + 0.5 * (model.uni.kinds + 1)))
     add = lambda x: np.add.reduceat(x, c.first)
-    cols = [pa.array(c.docs, left.schema.field("docs").type.value_type), pa.array(c.sizes), pa.array(add((known > 0)[c.at].astype(np.int64))), pa.array(np.full(len(c.docs), uni.total)), pa.array(add(base[c.at])), pa.array(add(logp[which]))]
+    cols = [pa.array(c.docs, left.schema.field("docs").type.value_type), pa.array(c.sizes), pa.array(add((known > 0)[c.at].astype(np.int64))), pa.array(np.full(len(c.docs), model.uni.total)), pa.array(add(base[c.at])), pa.array(add(np.log10(p)))]
     return pa.table(cols, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learnt from the rows where train holds."""
+def _asking(model: Model, order: int) -> Callable:
+    return lambda a, b: _requests(a, b, model, order)
+
+
+def _counting(model: Model, order: int, last: bool) -> Callable:
+    return lambda t: _count(t, model, order, last)
+
+
+def _added(answers: DataFrame, what: str, size: int) -> list:
+    """Sums of n over the buckets, by chunk (of sums: the context)."""
+    return answers.where(F.col("what") == what).groupBy("chunk").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(size)]).orderBy("chunk").collect()
+
+
+def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; learnt from the rows where train holds. order: of the longest n-grams, 2 or more."""
+    if order < 2:
+        raise ValueError("order is 2 or more")
     spark = docs.sparkSession
     made = make_chunks(docs, train, id_col, text_col)
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -361,33 +483,29 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(16, math.ceil(tokens / BUCKET_TOKENS))
     deal = max(width, math.ceil(buckets / 4))  # partitions of the buckets: four a task at most
-    words = scratch_table(_word_requests(chunks, buckets).repartition(deal, "bucket").groupBy("bucket").applyInArrow(_count_words, _ANSWER), "words")
-    release_shuffles(spark)
-    stats = [r["n"] for r in words.where("what = 'table'").select("n").collect()]  # one row a bucket
-    total, kinds, *n = [sum(x) for x in zip(*stats, strict=True)] if stats else [0] * (LARGEST + 4)
-    uni = Unigrams(total, kinds, n)
-    hot = _hot_words(words, max(1, math.ceil(total / HOT)))
-
-    answers = words.where("what = 'word'")
-    asked = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda a, b: _bigram_requests(a, b, buckets, hot), "bucket long, chunk long, v binary, many binary, w binary, count binary, known binary, hot_v binary, hot_w binary, hot_count binary, hot_known binary"
-    )
-    counted = scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(lambda t: _count_bigrams(t, uni), _ANSWER), "bigrams")
-    del asked
-    release_shuffles(spark)
-    few = counted.where("what IN ('stats', 'hot_sum')").select("what", "chunk", "b", "n").collect()  # buckets, and hot contexts x buckets
-    n2 = np.sum([r["n"] for r in few if r["what"] == "stats"], axis=0).tolist() if few else [0] * (LARGEST + 2)
-    d = katz_discounts(n2)
-    facts, back = np.zeros((len(hot), LARGEST + 1), dtype=np.int64), np.zeros(len(hot))
-    for r in sorted((r for r in few if r["what"] == "hot_sum"), key=lambda r: (r["chunk"], bytes(r["b"]))):
-        facts[r["chunk"]] += np.array(r["n"])
-        back[r["chunk"]] += np.frombuffer(bytes(r["b"]))[0]
-    hot_facts = alpha_of(facts[:, :LARGEST], facts[:, LARGEST], back, d)
-    answers = answers.withColumn("b", F.lit(None).cast("binary")).unionByName(counted.where("what IN ('bigram', 'hot')"))
+
+    def counted(asked: DataFrame, count: Callable, name: str) -> DataFrame:
+        out = scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
+        release_shuffles(spark)
+        return out
+
+    words = counted(_word_requests(chunks, buckets), _count_words, "words")
+    total, kinds, *n = [x or 0 for x in _added(words.withColumn("chunk", F.lit(0)), "table", LARGEST + 4)[0][1:]] if tokens else [0] * (LARGEST + 4)
+    least = max(1, math.ceil(total / HOT))
+    model = Model(buckets, Unigrams(total, kinds, n), _hot_words(words, least), least, [])
+    answers = words.where("what = 'word'").drop("n")
+    both = lambda: chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    for k in range(2, order + 1):
+        done = Model(buckets, model.uni, model.hot, least, list(model.orders))
+        found = counted(both().applyInArrow(_asking(done, k), _REQUEST), _counting(done, k, k == order), f"grams{k}")
+        seen = _added(found, f"stats{k}", LARGEST + 2)
+        d = katz_discounts(list(seen[0][1:]) if seen else [0] * (LARGEST + 2))
+        hot = _added(found, f"sum{k}", LARGEST + 2)  # at most HOT of them
+        facts = np.array([r[1:] for r in hot], dtype=np.int64).reshape(-1, LARGEST + 2)
+        model.orders.append((d, np.array([r[0] for r in hot], dtype=np.int64), alpha_of(facts[:, :LARGEST], facts[:, LARGEST], facts[:, LARGEST + 1] / SCALE, d)))
+        answers = answers.unionByName(found.where(F.col("what").isin(f"gram{k}", f"hot{k}")).drop("n"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda a, b: _score(a, b, buckets, uni, d, hot, hot_facts), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    return both().applyInArrow(lambda a, b: _score(a, b, model), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _hot_words(words: DataFrame, least: int) -> np.ndarray:

@@ -237,47 +237,76 @@ def test_partitions_cover(n):
     assert spare > 3
 
 
-def test_katz_query(spark, sf, docs):
+def katz_by_hand(docs, train, order):
+    """Counts of single words, P of a word after a context (a tuple of at most order - 1 words), and the contexts."""
     toks = {k: [*WORD.findall(lower(t)), None] for k, t in docs}
-    train = [k for k in toks if zlib.crc32(str(k).encode()) % 5 != 1]
-    uni, bi = Counter(), defaultdict(Counter)
-    for k in train:
-        v = "<s>"
-        for w in toks[k]:
-            uni[w] += 1
-            bi[v][w] += 1
-            v = w if w is not None else "</s>"
-    total, kinds = sum(uni.values()), len(uni)
+    uni, after = Counter(), [defaultdict(Counter) for _ in range(order - 1)]
+    for k in filter(train, toks):
+        line = ["<s>", *toks[k]]
+        for i in range(1, len(line)):
+            uni[line[i]] += 1
+            for n in range(1, min(order - 1, i) + 1):
+                after[n - 1][tuple(line[i - n : i])][line[i]] += 1
+    total = sum(uni.values())
 
     def discounts(counts):
         c = Counter(counts)
         return lm.katz_discounts([0, *(c[r] for r in range(1, lm.LARGEST + 2))])
 
-    d1, d2 = discounts(uni.values()), discounts(x for v in bi.values() for x in v.values())
+    d = [discounts(uni.values()), *(discounts(x for v in a.values() for x in v.values()) for a in after)]
     cut = lambda c, d: d[c] * c if c <= lm.LARGEST else c
-    p1 = {w: cut(c, d1) / total for w, c in uni.items()}
-    unknown = 1 - sum(p1.values())
+    unknown = 1 - sum(cut(c, d[0]) / total for c in uni.values())
+    memo = {}
 
     def p(v, w):
-        low = p1.get(w, unknown)
-        if v not in bi:
+        if not v:
+            return cut(uni[w], d[0]) / total if w in uni else unknown
+        low, seen, dk = p(v[1:], w), after[len(v) - 1].get(v), d[len(v)]
+        if not seen:
             return low
-        seen, n = bi[v], sum(bi[v].values())
-        mass = sum(cut(c, d2) for c in seen.values())
-        rest = 1 - sum(p1[x] for x in seen)
+        if v not in memo:
+            memo[v] = sum(seen.values()), sum(cut(c, dk) for c in seen.values()), 1 - sum(p(v[1:], x) for x in seen)
+        n, mass, rest = memo[v]
         plain = mass >= n - 1e-9
         if w in seen:
-            return seen[w] / (n + 1) if plain else cut(seen[w], d2) / n
+            return seen[w] / (n + 1) if plain else cut(seen[w], dk) / n
         return (1 / (n + 1) if plain else 1 - mass / n) / rest * low
 
-    for v in ["<s>", *list(bi)[1:400:80]]:  # exactly normalised
-        assert math.isclose(sum(p(v, w) for w in uni) + p(v, "never seen"), 1, rel_tol=1e-9)
-    for r in Q.queries()["op9_katz"](spark, sf).collect():
-        t = toks[r["doc_id"]]
-        before = ["<s>", *t[:-1]]
+    return toks, uni, total, p, after
+
+
+def check_katz(rows, docs, train, order):
+    toks, uni, total, p, after = katz_by_hand(docs, train, order)
+    for a in after:  # exactly normalised
+        for v in list(a)[0:400:80]:
+            assert math.isclose(sum(p(v, w) for w in uni) + p(v, "never seen"), 1, rel_tol=1e-9)
+    assert len(rows) == len(toks)
+    for r in rows:
+        line = ["<s>", *toks[r["doc_id"]]]
+        t = line[1:]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(uni[w] > 0 for w in t), total)
-        assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, b)) for a, b in zip(before, t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in t), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(line[max(0, i - order + 1) : i]), line[i])) for i in range(1, len(line))), rel_tol=1e-9)
+
+
+def not_held_out(k):
+    return zlib.crc32(str(k).encode()) % 5 != 1
+
+
+def test_katz_query(spark, sf, docs):
+    check_katz(Q.queries()["op9_katz"](spark, sf).collect(), docs, not_held_out, 3)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("hot", [4, 1024])
+def test_katz_chunks(spark, docs, order, hot, monkeypatch):
+    """Many chunks and buckets, few or many contexts spread."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 1000)
+    some = docs[:60]
+    table = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    out = lm.score_texts(table, F.col("doc_id") % 3 != 1, order=order)
+    check_katz(out.collect(), some, lambda k: k % 3 != 1, order)
 
 
 def test_katz_odd(odd, empty):
