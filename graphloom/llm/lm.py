@@ -54,15 +54,24 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def pack(a: np.ndarray, *, rising: bool = False) -> bytes:
-    """Compressed bytes of an array, by byte planes; rising: as differences."""
+    """Compressed bytes of an array, by byte planes; rising: as differences; int64 in as few bytes as the largest needs, told by the first byte."""
     a = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if rising else a)
-    return zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    head = b""
+    if a.dtype == np.int64:
+        if not len(a) or a.min() >= 0:
+            a = a.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if not len(a) or a.max() <= np.iinfo(t).max), np.int64))
+        head = bytes([a.dtype.itemsize])
+    return head + zstandard.ZstdCompressor(level=3).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
 
 
 def unpack(blob: bytes, dtype, *, rising: bool = False) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
     width = np.dtype(dtype).itemsize
-    a = np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
+    kind = dtype
+    if dtype == np.int64:
+        width, blob = blob[0], memoryview(blob)[1:]
+        kind = np.int64 if width == 8 else f"u{width}"
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    a = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel().astype(dtype, copy=False)
     return np.cumsum(a, dtype=dtype) if rising else a
 
 
@@ -179,16 +188,17 @@ class Chunk:
         return np.bincount(self.at, weights=self.weight, minlength=len(self.words)).astype(np.int64)
 
     def grams(self, code: np.ndarray, tokens: np.ndarray):
-        """Different codes: number of each of the tokens, a token of each, training counts."""
-        order = np.argsort(code, kind="stable")
+        """Different codes, rising: number of each of the tokens, a token of each, training counts."""
+        order = np.argsort(code)
         s = code[order]
         new = np.ones(len(s), dtype=bool)
         new[1:] = s[1:] != s[:-1]
         start = np.flatnonzero(new)
+        order = tokens[order]
         which = np.full(len(self.at), -1, dtype=np.int64)
-        which[tokens[order]] = np.cumsum(new) - 1
-        count = np.add.reduceat(self.weight[tokens[order]].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
-        return which, tokens[order[start]], count
+        which[order] = np.cumsum(new) - 1
+        count = np.add.reduceat(self.weight[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        return which, order[start], count
 
     def bigrams(self, hot: np.ndarray, buckets: int, number: np.ndarray, known: np.ndarray) -> Grams:
         """Bigrams, from the words' numbers and training counts."""
@@ -198,26 +208,24 @@ class Chunk:
         which, token, count = self.grams(before * (len(self.words) + 1) + self.at, np.arange(len(self.at)))
         v, w = before[token], self.at[token]
         hashes = np.append(self.words, START)
-        key = mix64(hashes[v] * SPREAD + hashes[w])
-        warm = np.isin(hashes[v], hot)
-        context = np.where(warm, hashes[v].view(np.int64), np.append(number, 0)[v])
-        bucket = bucket_of(np.where(warm, key, hashes[v]), buckets)
-        return Grams(which, w, w, key, count, context, bucket, warm, known[w], np.zeros(len(w), np.int64))
+        spread = np.isin(hashes, hot)
+        context = np.where(spread, hashes.view(np.int64), np.append(number, 0))[v]
+        return Grams.of(self, which, w, w, count, v, hashes.__getitem__, context, spread[v], bucket_of(hashes, buckets)[v], buckets, known[w], None)
 
     def longer(self, low: Grams, order: int, least: int, buckets: int) -> Grams:
         """N-grams of an order, from those one shorter: the token before ends the context, the token itself the n-gram to back off to. Contexts seen least times or more are spread."""
         place = np.arange(len(self.at)) - np.repeat(self.first, self.sizes)
         here = np.flatnonzero(place >= order - 2)
         rank = np.empty(len(low.w), dtype=np.int64)
-        rank[np.lexsort((low.number, low.bucket))] = np.arange(len(rank))
+        by_part = np.concatenate([x for _, x in low.parts])
+        rank[by_part[np.argsort(low.bucket[by_part], kind="stable")]] = np.arange(len(rank))  # by bucket and number
         which, token, count = self.grams(rank[low.which[here - 1]] * len(self.words) + self.at[here], here)
-        h, shorter, w = low.which[token - 1], low.which[token], self.at[token]
-        key = mix64(low.key[h] * SPREAD + self.words[w])
-        warm = low.total[h] >= least
-        context = np.where(warm, low.key[h].view(np.int64), low.number[h])
-        bucket = np.where(warm, bucket_of(key, buckets), low.bucket[h])
+        h, shorter = low.which[token - 1], low.which[token]
+        spread = low.total >= least
+        context = low.number.copy()
+        context[spread] = low.key(np.flatnonzero(spread)).view(np.int64)
         below = low.bottom[shorter].astype(np.int64) * 2 + low.cut[shorter]
-        return Grams(which, w, shorter, key, count, context, bucket, warm, low.total[shorter], below)
+        return Grams.of(self, which, self.at[token], shorter, count, h, low.key, context[h], spread[h], low.bucket[h], buckets, low.total[shorter], below)
 
 
 @dataclass
@@ -227,29 +235,41 @@ class Grams:
     which: np.ndarray  # of each token
     w: np.ndarray  # last word, as a position in the chunk's words
     shorter: np.ndarray  # the n-gram, or word, to back off to
-    key: np.ndarray  # hash
     count: np.ndarray  # in the chunk's training texts
+    key: Callable  # hashes of n-grams
     context: np.ndarray  # a number in its bucket; where spread, a hash
     bucket: np.ndarray
-    warm: np.ndarray  # is the context spread?
+    parts: list[tuple[bool, np.ndarray]]  # is the context spread, n-grams in the order of their requests: bucket, context, word
     known: np.ndarray  # training count of shorter
-    below: np.ndarray  # twice D of shorter's context, plus one if its counts are discounted
+    below: np.ndarray | None  # twice D of shorter's context, plus one if its counts are discounted
     total: np.ndarray | None = None  # training count
     number: np.ndarray | None = None  # in its bucket
     bottom: np.ndarray | None = None  # D of its context
+    alpha: np.ndarray | None = None
     cut: np.ndarray | None = None  # are its context's counts discounted?
-    p: np.ndarray | None = None
-
-    def parts(self) -> list[tuple[bool, np.ndarray]]:
-        """The n-grams by kind of context, in the order of their requests: bucket, context, word."""
-        return [(k, x[np.lexsort((self.w[x], self.context[x], self.bucket[x]))]) for k, x in ((False, np.flatnonzero(~self.warm)), (True, np.flatnonzero(self.warm)))]
 
-    def read(self, answers: pa.Table, order: int, lower: np.ndarray, d: list[float], hot: np.ndarray, hot_facts: tuple) -> None:
-        """Fill in the answers; lower: P of what to back off to."""
+    @classmethod
+    def of(cls, c: Chunk, which, w, shorter, count, h, key_of_context, context, spread, bucket, buckets, known, below) -> Grams:
+        """From n-grams in the order of their contexts' buckets, contexts and words."""
+        key = lambda i: mix64(key_of_context(h[i]) * SPREAD + c.words[w[i]])
+        warm = np.flatnonzero(spread)
+        if len(warm):
+            bucket = bucket.copy()
+            bucket[warm] = bucket_of(key(warm), buckets)
+            kinds, at = np.unique(context[warm], return_inverse=True)
+            warm = warm[np.argsort((bucket[warm] * len(kinds) + at) * len(c.words) + w[warm])]
+        return cls(which, w, shorter, count, key, context, bucket, [(False, np.flatnonzero(~spread)), (True, warm)], known, below)
+
+    def p(self, lower: np.ndarray, d: list[float]) -> np.ndarray:
+        """P of each; lower: P of what is backed off to."""
+        return np.where(self.total > 0, np.where(self.cut, discounted(self.total, d), self.total) / self.bottom, self.alpha * lower[self.shorter])
+
+    def read(self, answers: pa.Table, order: int, d: list[float], hot: np.ndarray, hot_facts: tuple) -> None:
+        """Fill in the answers."""
         size = len(self.w)
         self.total, self.number = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.bottom, alpha, self.cut = np.ones(size), np.ones(size), np.zeros(size, bool)
-        for warm, part in self.parts():
+        self.bottom, self.alpha, self.cut = np.ones(size), np.ones(size), np.zeros(size, bool)
+        for warm, part in self.parts:
             what = f"{'hot' if warm else 'gram'}{order}"
             if not len(part):
                 continue
@@ -266,9 +286,8 @@ class Grams:
                 back = np.zeros(n.shape[1])
                 back[np.bincount(at, weights=self.total[part] == 0) > 0] = _aligned(answers, what, "back").view(np.float64)
                 facts = alpha_of(n[:LARGEST].T, n[LARGEST], back, d)
-            for x, y in zip((self.bottom, alpha, self.cut), facts, strict=True):
+            for x, y in zip((self.bottom, self.alpha, self.cut), facts, strict=True):
                 x[part] = y[at]
-        self.p = np.where(self.total > 0, np.where(self.cut, discounted(self.total, d), self.total) / self.bottom, alpha * lower)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -344,12 +363,12 @@ class Model:
         """The chunk's n-grams of orders 2, 3, ..., answered where the model has the order, and its words' counts and numbers."""
         known = _aligned(answers, "word")
         number = bucket_of(c.words, self.buckets) << 32 | _aligned(answers, "word", "number", rising=True)
-        g, lower, out = c.bigrams(self.hot, self.buckets, number, known), self.uni.p(known), []
+        g, out = c.bigrams(self.hot, self.buckets, number, known), []
         for k in range(2, order + 1):
             if k > 2:
-                g, lower = c.longer(g, k, self.least, self.buckets), g.p
+                g = c.longer(g, k, self.least, self.buckets)
             if k - 2 < len(self.orders):
-                g.read(answers, k, lower[g.shorter], *self.orders[k - 2])
+                g.read(answers, k, *self.orders[k - 2])
             out.append(g)
         return out, known, number
 
@@ -362,13 +381,14 @@ def _requests(left: pa.Table, right: pa.Table, model: Model, order: int) -> pa.T
     c = Chunk(left.to_pylist()[0])
     (*_, g), _, number = model.climb(c, right, order)
     rows = []
-    for warm, part in g.parts():
+    for warm, part in g.parts:
         for x, i, j in _runs(g.bucket[part]):
             p = part[i:j]
             start = np.flatnonzero(_changes(g.context[p]))
             seen = g.count[p] > 0  # others add nothing to a context's sums
+            below = pack(np.maximum.reduceat(np.where(seen, g.below[p], 0), start)) if g.below is not None else None
             rows.append((
-                x, c.id, warm, pack(g.context[p[start]], rising=True), pack(np.diff(start, append=len(p))), pack(np.where(seen, g.below[p], 0)),
+                x, c.id, warm, pack(g.context[p[start]], rising=True), pack(np.diff(start, append=len(p))), below,
                 pack(number[g.w[p]]), pack(g.count[p]), pack(np.where(seen, g.known[p], 0)),
             ))
     kinds = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
@@ -381,30 +401,42 @@ def _aligned(answers: pa.Table, what: str, part: str = "a", *, rising: bool = Fa
     return np.concatenate([unpack(b, np.int64, rising=rising) for _, b in rows]) if rows else np.zeros(0, np.int64)
 
 
+def _dense(v: np.ndarray) -> np.ndarray:
+    """Numbers below 2**31 in the order of v."""
+    low = v.min()
+    return v - low if int(v.max()) - int(low) < 2**31 else np.unique(v, return_inverse=True)[1]
+
+
+def _order(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sorts by v, then by w = bucket << 32 | number."""
+    v, w = _dense(v), (w >> 32) * (int((w & 0xFFFFFFFF).max()) + 1) + (w & 0xFFFFFFFF)
+    span = int(w.max()) + 1
+    return np.argsort(v * span + w) if (int(v.max()) + 1) * span < 2**63 else np.lexsort((w, v))
+
+
 def _group(v: np.ndarray, w: np.ndarray, count: np.ndarray, p: np.ndarray):
-    """Entries of the same (v, w): context, largest p, group of each entry, summed counts."""
-    order = np.lexsort((w, v))
-    a, b = v[order], w[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    """Entries of the same (v, w), at least one: context, largest p, group of each entry, summed counts."""
+    order = _order(v, w)
+    new = _changes(v[order], w[order])
     start = np.flatnonzero(new)
-    which = np.empty(len(a), dtype=np.int64)
+    which = np.empty(len(v), dtype=np.int64)
     which[order] = np.cumsum(new) - 1
-    if not len(start):
-        return a, p, which, np.zeros(0, np.int64)
-    return a[start], np.maximum.reduceat(p[order], start), which, np.add.reduceat(count[order], start)
+    return v[order[start]], np.maximum.reduceat(p[order], start), which, np.add.reduceat(count[order], start)
 
 
 def _sums(v: np.ndarray, total: np.ndarray, p: np.ndarray):
-    """For each different v (sorted): numbers of words seen 1..LARGEST times, sum of larger counts, sum of P of seen words."""
-    kinds, at = np.unique(v, return_inverse=True)
-    n = np.stack([np.bincount(at, weights=total == r, minlength=len(kinds)) for r in range(1, LARGEST + 1)], axis=1) if len(kinds) else np.zeros((0, LARGEST))
+    """For each different v (rising): v, numbers of words seen 1..LARGEST times, sum of larger counts, sum of P of seen words."""
+    new = _changes(v)
+    at = np.cumsum(new) - 1
+    kinds = v[new]
+    few = (total > 0) & (total <= LARGEST)
+    n = np.bincount(at[few] * LARGEST + total[few] - 1, minlength=len(kinds) * LARGEST).reshape(-1, LARGEST)
     big = np.bincount(at, weights=np.where(total > LARGEST, total, 0), minlength=len(kinds))
     back = np.bincount(at, weights=np.where(total > 0, p, 0.0), minlength=len(kinds))
-    return kinds, at, n.astype(np.int64), big.astype(np.int64), back
+    return kinds, n, big.astype(np.int64), back
 
 
-def _lower(model: Model, order: int, known: np.ndarray, below: np.ndarray) -> np.ndarray:
+def _lower(model: Model, order: int, known: np.ndarray, below: np.ndarray | None) -> np.ndarray:
     """P of an n-gram's last word one order down, where that was seen."""
     if order == 2:
         return model.uni.p(known)
@@ -421,12 +453,13 @@ def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
             continue
         vs, many = [unpack(r["v"], np.int64, rising=True) for r in own], [unpack(r["many"], np.int64) for r in own]
         v = np.concatenate([np.repeat(a, m) for a, m in zip(vs, many, strict=True)])
-        below, w, count, known = (np.concatenate([unpack(r[k], np.int64) for r in own]) for k in ("below", "w", "count", "known"))
+        w, count, known = (np.concatenate([unpack(r[k], np.int64) for r in own]) for k in ("w", "count", "known"))
+        below = np.concatenate([np.repeat(unpack(r["below"], np.int64), m) for r, m in zip(own, many, strict=True)]) if order > 2 else None
         p = np.where(count > 0, _lower(model, order, known, below), 0.0)
         del below, known
         gv, gp, which, total = _group(v, w, count, p)
         del v, w, count, p
-        kinds, _, n, big, back = _sums(gv, total, gp)
+        kinds, n, big, back = _sums(gv, total, gp)
         seen += np.array(_histogram(total))
         at = 0
         for r, a, m in zip(own, vs, many, strict=True):
@@ -449,10 +482,11 @@ def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
 def _score(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
     orders, known, _ = model.climb(c, right, len(model.orders) + 1)
-    p = np.empty(len(c.at))
-    for g in orders:
+    lower, p = model.uni.p(known), np.empty(len(c.at))
+    for g, (d, *_) in zip(orders, model.orders, strict=True):
+        lower = g.p(lower, d)
         here = g.which >= 0
-        p[here] = g.p[g.which[here]]
+        p[here] = lower[g.which[here]]
     base = np.log10((known + 0.5) / (model.uni.total + 0.5 * (model.uni.kinds + 1)))
     add = lambda x: np.add.reduceat(x, c.first)
     cols = [pa.array(c.docs, left.schema.field("docs").type.value_type), pa.array(c.sizes), pa.array(add((known > 0)[c.at].astype(np.int64))), pa.array(np.full(len(c.docs), model.uni.total)), pa.array(add(base[c.at])), pa.array(add(np.log10(p)))]
@@ -485,11 +519,10 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     deal = max(width, math.ceil(buckets / 4))  # partitions of the buckets: four a task at most
 
     def counted(asked: DataFrame, count: Callable, name: str) -> DataFrame:
-        out = scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
-        release_shuffles(spark)
-        return out
+        return scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
 
     words = counted(_word_requests(chunks, buckets), _count_words, "words")
+    release_shuffles(spark)
     total, kinds, *n = [x or 0 for x in _added(words.withColumn("chunk", F.lit(0)), "table", LARGEST + 4)[0][1:]] if tokens else [0] * (LARGEST + 4)
     least = max(1, math.ceil(total / HOT))
     model = Model(buckets, Unigrams(total, kinds, n), _hot_words(words, least), least, [])
@@ -498,6 +531,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     for k in range(2, order + 1):
         done = Model(buckets, model.uni, model.hot, least, list(model.orders))
         found = counted(both().applyInArrow(_asking(done, k), _REQUEST), _counting(done, k, k == order), f"grams{k}")
+        release_shuffles(spark)
         seen = _added(found, f"stats{k}", LARGEST + 2)
         d = katz_discounts(list(seen[0][1:]) if seen else [0] * (LARGEST + 2))
         hot = _added(found, f"sum{k}", LARGEST + 2)  # at most HOT of them
