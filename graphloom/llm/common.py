@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +60,25 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go when each write ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     _TABLES.append(path)
-    df.write.parquet(path)
+    with shuffles_end(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +88,8 @@ def bucketed_table(df: DataFrame, name: str, column: str, buckets: int) -> DataF
     unique = uuid.uuid4().hex
     path, table = f"{shared_dir(spark)}/graphloom-{name}-{unique}", f"graphloom_{name}_{unique}"
     _TABLES.append(path)
-    df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
+    with shuffles_end(spark):
+        df.write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out.schema  # noqa: B018  resolved before its name goes
     spark.sql(f"DROP TABLE {table}")  # the files stay

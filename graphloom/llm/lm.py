@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, bucketed_table, map_arrow, mix64, numbered, release_shuffles, scratch_table, text_blocks
+from .common import LOWER, RollingHash, bucketed_table, map_arrow, mix64, numbered, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 #: Sums of P below 1 are added up over buckets as whole multiples of 1/SCALE, in any order alike.
@@ -522,7 +522,6 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
         return scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
 
     words = counted(_word_requests(chunks, buckets), _count_words, "words")
-    release_shuffles(spark)
     total, kinds, *n = [x or 0 for x in _added(words.withColumn("chunk", F.lit(0)), "table", LARGEST + 4)[0][1:]] if tokens else [0] * (LARGEST + 4)
     least = max(1, math.ceil(total / HOT))
     model = Model(buckets, Unigrams(total, kinds, n), _hot_words(words, least), least, [])
@@ -531,8 +530,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     for k in range(2, order + 1):
         done = Model(buckets, model.uni, model.hot, least, list(model.orders))
         found = counted(both().applyInArrow(_asking(done, k), _REQUEST), _counting(done, k, k == order), f"grams{k}")
-        release_shuffles(spark)
-        seen = _added(found, f"stats{k}", LARGEST + 2)
+            seen = _added(found, f"stats{k}", LARGEST + 2)
         d = katz_discounts(list(seen[0][1:]) if seen else [0] * (LARGEST + 2))
         hot = _added(found, f"sum{k}", LARGEST + 2)  # at most HOT of them
         facts = np.array([r[1:] for r in hot], dtype=np.int64).reshape(-1, LARGEST + 2)
