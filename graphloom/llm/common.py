@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -128,12 +127,6 @@ def scratch_mark() -> int:
     return len(_TABLES)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live plan reads; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns called c0, c1, ...: names of any kind then clash with nothing."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, drop_scratch, map_arrow, mix64, numbered, release_shuffles, repeat_ranges, scratch_table, text_blocks
+from .common import LOWER, RollingHash, drop_scratch, map_arrow, mix64, numbered, repeat_ranges, scratch_table, text_blocks
 from .xxh import xxh64_ranges
 
 BITS = 64
@@ -302,10 +302,8 @@ def similar_links(fp: DataFrame, edges: DataFrame, similarity: float) -> DataFra
     ends = shared.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp != end").groupBy("fp", "end").agg(F.count("*").alias("n"))
     best = ends.groupBy("fp").agg(F.max_by("end", F.struct("n", "end")).alias("end"))
     edges = scratch_table(edges.union(similar(best, lead, fp, similarity)).distinct(), "links")
-    release_shuffles(fp.sparkSession)
     more = scratch_table(bucket_links(shared, lead, fp, components(edges), similarity), "more")
     drop_scratch(shared)
-    release_shuffles(fp.sparkSession)
     return edges.union(more).distinct()
 
 
