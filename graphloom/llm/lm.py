@@ -9,8 +9,8 @@ D(h) = c(h) + 1, so alpha stays above 0; a context never seen backs off at no
 cost. A text starts in a context of its own, its k-th token has at most k words
 before it (the start among them), and it ends with one end token.
 
-How it runs: texts become chunks of bounded size, each with a sorted list of
-its words' 64-bit hashes and its tokens as positions in that list. A chunk asks
+How it runs: texts become chunks of bounded size, each with a list of its
+words' 64-bit hashes and its tokens as positions in that list. A chunk asks
 for what it needs once for each different word or n-gram; requests go to hash
 buckets, which add up the training counts of all chunks and answer. So a word
 or n-gram that makes up a third of the corpus costs one entry a chunk. N-grams
@@ -34,7 +34,7 @@ columns, whatever their names, are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,7 +127,7 @@ def alpha_of(n: np.ndarray, big: np.ndarray, back: np.ndarray, d: list[float]) -
 
 
 def make_chunks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """chunk, tokens, docs (ids), trained, sizes (tokens by doc), words (sorted hashes), at (tokens as positions in words)."""
+    """chunk, tokens, docs (ids), trained, sizes (tokens by doc), words (hashes, frequent ones first), at (tokens as positions in words)."""
 
     def run(batches):
         made, ids, trained, sizes, hashes, held = 0, [], [], [], [], 0
@@ -137,10 +137,14 @@ def make_chunks(docs: DataFrame, train: Column, id_col: str, text_col: str) -> D
         def emit():
             nonlocal made
             h = np.concatenate(hashes)
-            words, at = np.unique(h, return_inverse=True)
+            words, at, many = np.unique(h, return_inverse=True, return_counts=True)
+            often = np.argsort(-many)  # small positions for frequent words take fewer bytes
+            place = np.empty(len(words), dtype=np.uint32)
+            place[often] = np.arange(len(words), dtype=np.uint32)
+            words, at = words[often], place[at]
             cols = [
                 pa.array([base + made], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(kind)), pa.array([pack(np.concatenate(trained).astype(np.uint8))], pa.binary()),
-                pa.array([pack(np.concatenate(sizes).astype(np.uint32))], pa.binary()), pa.array([pack(words, rising=True)], pa.binary()), pa.array([pack(at.astype(np.uint32))], pa.binary()),
+                pa.array([pack(np.concatenate(sizes).astype(np.uint32))], pa.binary()), pa.array([pack(words)], pa.binary()), pa.array([pack(at)], pa.binary()),
             ]
             made += 1
             for x in (ids, trained, sizes, hashes):
@@ -179,11 +183,17 @@ class Chunk:
         self.id, self.docs = row["chunk"], row["docs"]
         self.sizes = unpack(row["sizes"], np.uint32).astype(np.int64)
         self.trained = unpack(row["trained"], np.uint8).astype(bool)
-        self.words = unpack(row["words"], np.uint64, rising=True)
-        self.at = unpack(row["at"], np.uint32).astype(np.int64)
+        self.words, self.at = unpack(row["words"], np.uint64), unpack(row["at"], np.uint32)
+        self.reorder(np.argsort(self.words))
         self.weight = np.repeat(self.trained, self.sizes)
         self.first = np.cumsum(self.sizes) - self.sizes
 
+    def reorder(self, order: np.ndarray) -> None:
+        """Put the words in another order."""
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.words, self.at = self.words[order], place[self.at]
+
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.at, weights=self.weight, minlength=len(self.words)).astype(np.int64)
 
@@ -195,8 +205,9 @@ class Chunk:
         new[1:] = s[1:] != s[:-1]
         start = np.flatnonzero(new)
         order = tokens[order]
-        which = np.full(len(self.at), -1, dtype=np.int64)
-        which[order] = np.cumsum(new) - 1
+        which = np.full(len(self.at), -1, dtype=np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        del s
         count = np.add.reduceat(self.weight[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         return which, order[start], count
 
@@ -340,9 +351,11 @@ def _count_words(table: pa.Table) -> pa.Table:
     total = np.zeros(len(key), dtype=np.int64)
     np.add.at(total, where, np.concatenate(counts))
     out, at = [], 0
+    number = np.empty(len(key), dtype=np.int64)
+    number[np.argsort(-total, kind="stable")] = np.arange(len(key))  # small ones for frequent words
     for r, w in zip(rows, words, strict=True):
         own = where[at : at + len(w)]
-        out.append(("word", r["bucket"], r["chunk"], pack(total[own]), None, pack(own.astype(np.int64), rising=True), None, None))
+        out.append(("word", r["bucket"], r["chunk"], pack(total[own]), None, pack(number[own]), None, None))
         at += len(w)
     seen = total > 0
     out.append(("table", rows[0]["bucket"], None, pack(key[seen], rising=True), pack(total[seen]), None, None, [int(total.sum()), int(seen.sum()), *_histogram(total)]))
@@ -359,18 +372,26 @@ class Model:
     least: int  # training count from which a context is spread
     orders: list[tuple]  # of order 2, 3, ...: discounts, spread contexts, their D, alpha and kind
 
-    def climb(self, c: Chunk, answers: pa.Table, order: int):
-        """The chunk's n-grams of orders 2, 3, ..., answered where the model has the order, and its words' counts and numbers."""
+    def words(self, c: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts and numbers of the chunk's words, which are put in the order of the numbers."""
         known = _aligned(answers, "word")
-        number = bucket_of(c.words, self.buckets) << 32 | _aligned(answers, "word", "number", rising=True)
-        g, out = c.bigrams(self.hot, self.buckets, number, known), []
+        number = bucket_of(c.words, self.buckets) << 32 | _aligned(answers, "word", "number")
+        order = np.argsort(number)
+        c.reorder(order)
+        return known[order], number[order]
+
+    def climb(self, c: Chunk, answers: pa.Table, known: np.ndarray, number: np.ndarray, order: int) -> Iterator[Grams]:
+        """The chunk's n-grams of orders 2, 3, ..., answered where the model has the order; none is held when the next is made."""
+        g = c.bigrams(self.hot, self.buckets, number, known)
         for k in range(2, order + 1):
             if k > 2:
                 g = c.longer(g, k, self.least, self.buckets)
+            if k == order:
+                g.key = None
             if k - 2 < len(self.orders):
+                g.count = g.known = g.below = None
                 g.read(answers, k, *self.orders[k - 2])
-            out.append(g)
-        return out, known, number
+            yield g
 
 
 _REQUEST = "bucket long, chunk long, hot boolean, v binary, many binary, below binary, w binary, count binary, known binary"
@@ -379,7 +400,9 @@ _REQUEST = "bucket long, chunk long, hot boolean, v binary, many binary, below b
 def _requests(left: pa.Table, right: pa.Table, model: Model, order: int) -> pa.Table:
     """A chunk's n-grams of the order, by bucket: contexts, the numbers of their words, training counts."""
     c = Chunk(left.to_pylist()[0])
-    (*_, g), _, number = model.climb(c, right, order)
+    known, number = model.words(c, right)
+    for g in model.climb(c, right, known, number, order):  # noqa: B007  the last one
+        pass
     rows = []
     for warm, part in g.parts:
         for x, i, j in _runs(g.bucket[part]):
@@ -481,12 +504,14 @@ def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
 
 def _score(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
-    orders, known, _ = model.climb(c, right, len(model.orders) + 1)
+    known, number = model.words(c, right)
     lower, p = model.uni.p(known), np.empty(len(c.at))
-    for g, (d, *_) in zip(orders, model.orders, strict=True):
-        lower = g.p(lower, d)
+    discounts = iter(model.orders)
+    for g in model.climb(c, right, known, number, len(model.orders) + 1):
+        lower = g.p(lower, next(discounts)[0])
         here = g.which >= 0
         p[here] = lower[g.which[here]]
+        del g  # before the next order is made
     base = np.log10((known + 0.5) / (model.uni.total + 0.5 * (model.uni.kinds + 1)))
     add = lambda x: np.add.reduceat(x, c.first)
     cols = [pa.array(c.docs, left.schema.field("docs").type.value_type), pa.array(c.sizes), pa.array(add((known > 0)[c.at].astype(np.int64))), pa.array(np.full(len(c.docs), model.uni.total)), pa.array(add(base[c.at])), pa.array(add(np.log10(p)))]
