@@ -157,19 +157,26 @@ def _libc():
         return None
 
 
+@contextmanager
+def lean() -> Iterator[None]:
+    """The process gives freed memory back: large arrays at once, the rest at the end."""
+    lib = _libc()
+    if lib is not None:
+        lib.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD: arrays of 4 MB or more are pages of their own
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        if lib is not None:
+            lib.malloc_trim(0)
+
+
 def hand_back(fn):
-    """fn, a function of batches, such that its worker gives freed memory back: large arrays at once, the rest when the task ends."""
+    """fn, a function of batches, in a worker that gives freed memory back when the task ends."""
 
     def run(batches):
-        lib = _libc()
-        if lib is not None:
-            lib.mallopt(-3, 1 << 22)  # M_MMAP_THRESHOLD: arrays of 4 MB or more are pages of their own
-        try:
+        with lean():
             yield from fn(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            if lib is not None:
-                lib.malloc_trim(0)
 
     return run
 

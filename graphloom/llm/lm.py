@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RollingHash, bucketed_table, map_arrow, mix64, numbered, scratch_table, text_blocks
+from .common import LOWER, RollingHash, bucketed_table, lean, map_arrow, mix64, numbered, scratch_table, text_blocks
 
 CHUNK_TOKENS, BUCKET_TOKENS, HOT, LARGEST = 2_200_000, 1_500_000, 1024, 5
 #: Sums of P below 1 are added up over buckets as whole multiples of 1/SCALE, in any order alike.
@@ -342,6 +342,7 @@ def _answer(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["what", "bucket", "chunk", "a", "b", "number", "back", "n"])
 
 
+@lean()
 def _count_words(table: pa.Table) -> pa.Table:
     """Answers to each chunk (its words' counts and their numbers in the bucket), the bucket's table of counts, and its statistics."""
     rows = table.to_pylist()
@@ -397,6 +398,7 @@ class Model:
 _REQUEST = "bucket long, chunk long, hot boolean, v binary, many binary, below binary, w binary, count binary, known binary"
 
 
+@lean()
 def _requests(left: pa.Table, right: pa.Table, model: Model, order: int) -> pa.Table:
     """A chunk's n-grams of the order, by bucket: contexts, the numbers of their words, training counts."""
     c = Chunk(left.to_pylist()[0])
@@ -466,6 +468,7 @@ def _lower(model: Model, order: int, known: np.ndarray, below: np.ndarray | None
     return np.where(below & 1, discounted(known, model.orders[order - 3][0]), known) / np.maximum(below >> 1, 1)
 
 
+@lean()
 def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
     """Answers to each chunk, the sums of spread contexts, and the bucket's numbers of n-grams seen 1, 2, ... times."""
     rows, out = table.to_pylist(), []
@@ -502,6 +505,7 @@ def _count(table: pa.Table, model: Model, order: int, last: bool) -> pa.Table:
     return _answer(out)
 
 
+@lean()
 def _score(left: pa.Table, right: pa.Table, model: Model) -> pa.Table:
     c = Chunk(left.to_pylist()[0])
     known, number = model.words(c, right)
@@ -546,7 +550,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     def counted(asked: DataFrame, count: Callable, name: str) -> DataFrame:
         return scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
 
-    words = counted(_word_requests(chunks, buckets), _count_words, "words")
+    words = counted(_word_requests(chunks, buckets), lambda t: _count_words(t), "words")
     total, kinds, *n = [x or 0 for x in _added(words.withColumn("chunk", F.lit(0)), "table", LARGEST + 4)[0][1:]] if tokens else [0] * (LARGEST + 4)
     least = max(1, math.ceil(total / HOT))
     model = Model(buckets, Unigrams(total, kinds, n), _hot_words(words, least), least, [])
