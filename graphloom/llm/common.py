@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +72,12 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, *, end_shuffles: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     _TABLES.append(path)
-    with shuffles_end(spark):
+    with shuffles_end(spark) if end_shuffles else nullcontext():
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -127,6 +128,12 @@ def scratch_mark() -> int:
     return len(_TABLES)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan reads; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns called c0, c1, ...: names of any kind then clash with nothing."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

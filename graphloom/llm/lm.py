@@ -548,7 +548,7 @@ def score_texts(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_
     deal = max(width, math.ceil(buckets / 4))  # partitions of the buckets: four a task at most
 
     def counted(asked: DataFrame, count: Callable, name: str) -> DataFrame:
-        return scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name)
+        return scratch_table(asked.repartition(deal, "bucket").groupBy("bucket").applyInArrow(count, _ANSWER), name, end_shuffles=True)
 
     words = counted(_word_requests(chunks, buckets), lambda t: _count_words(t), "words")
     total, kinds, *n = [x or 0 for x in _added(words.withColumn("chunk", F.lit(0)), "table", LARGEST + 4)[0][1:]] if tokens else [0] * (LARGEST + 4)
